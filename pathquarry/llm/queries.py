@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import load
 
@@ -21,4 +22,14 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op3_mixing, op8_quality_rules)}
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import BASE, digest, find
+
+    found = find(load(spark, sf_dir, "documents").select("doc_id", "text"))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    kinds = tuple(r.kind for r in BASE)
+    base = F.sha2(digest(F.col("spans"), kinds).cast("binary"), 256)
+    return found.select("doc_id", *map(count, kinds), base.alias("base_sha256"), digest(F.col("spans")).alias("spans"))
+
+
+QUERIES = {f.__name__: f for f in (op3_mixing, op8_quality_rules, op9_secrets)}

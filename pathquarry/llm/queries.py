@@ -15,6 +15,14 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(docs).select("doc_id", "size", "source_size", "target", "taken", "copies", "part")
 
 
+def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .token_output import encode_and_read
+
+    return encode_and_read(load(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_rules import judge
 
@@ -32,4 +40,4 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(count, kinds), base.alias("base_sha256"), digest(F.col("spans")).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op3_mixing, op8_quality_rules, op9_secrets)}
+QUERIES = {f.__name__: f for f in (op3_mixing, op4_token_output, op8_quality_rules, op9_secrets)}

@@ -23,6 +23,13 @@ def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_and_read(load(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import near_duplicates
+
+    found = near_duplicates(load(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_rules import judge
 
@@ -40,4 +47,4 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(count, kinds), base.alias("base_sha256"), digest(F.col("spans")).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op3_mixing, op4_token_output, op8_quality_rules, op9_secrets)}
+QUERIES = {f.__name__: f for f in (op3_mixing, op4_token_output, op7_simhash, op8_quality_rules, op9_secrets)}

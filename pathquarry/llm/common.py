@@ -148,3 +148,15 @@ class SpanHash:
     def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
             return mix64((self.sums[ends] - self.sums[starts]) * self.inverse[starts] + (ends - starts).astype(np.uint64))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int) -> DataFrame:
+    """(text, y) of at most per_class labelled ids of each class, chosen by a hash of the id, never from the held-out split.
+
+    An id with several labels counts as 1 if any is 1. The sample's ids are few by construction, so they are broadcast.
+    """
+    known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~labelled_split())
+    known = known.groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
+    some = [known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for y in (0, 1)]
+    ids = some[0].union(some[1]).select(F.col("doc_id").alias("__k"), "y")
+    return docs.join(F.broadcast(ids), F.col("doc_id") == F.col("__k")).select("text", "y")

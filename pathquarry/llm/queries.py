@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import load
+from .common import labelled_split, load
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,4 +47,13 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(count, kinds), base.alias("base_sha256"), digest(F.col("spans")).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op3_mixing, op4_token_output, op7_simhash, op8_quality_rules, op9_secrets)}
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import score, train
+
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    model = train(docs, load(spark, sf_dir, "labels"), threshold=0.3)
+    predicted = (F.col("score") >= 0.3).cast("int").alias("predicted")
+    return score(docs, model).select("doc_id", labelled_split().alias("held_out"), "score", predicted)
+
+
+QUERIES = {f.__name__: f for f in (op3_mixing, op4_token_output, op7_simhash, op8_quality_rules, op9_secrets, op10_toxicity)}

@@ -8,6 +8,22 @@ from pyspark.sql import functions as F
 from .common import labelled_split, load
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontamination import pairs
+
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    return pairs(docs, load(spark, sf_dir, "benchmark"))
+
+
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_knn import score, train
+
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    model = train(docs, load(spark, sf_dir, "labels"))
+    predicted = (F.col("score") >= 0.7).cast("int").alias("predicted")
+    return score(docs, model).select("doc_id", labelled_split().alias("held_out"), "score", predicted)
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix
 
@@ -56,4 +72,4 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, model).select("doc_id", labelled_split().alias("held_out"), "score", predicted)
 
 
-QUERIES = {f.__name__: f for f in (op3_mixing, op4_token_output, op7_simhash, op8_quality_rules, op9_secrets, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_quality_classifier, op3_mixing, op4_token_output, op7_simhash, op8_quality_rules, op9_secrets, op10_toxicity)}

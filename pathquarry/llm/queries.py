@@ -39,6 +39,13 @@ def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_and_read(load(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .url_rules import judge
+
+    pages = load(spark, sf_dir, "pages").select("page_id", "url")
+    return judge(pages, load(spark, sf_dir, "labels")).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import near_duplicates
 
@@ -72,4 +79,4 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, model).select("doc_id", labelled_split().alias("held_out"), "score", predicted)
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_quality_classifier, op3_mixing, op4_token_output, op7_simhash, op8_quality_rules, op9_secrets, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_quality_classifier, op3_mixing, op4_token_output, op6_url_rules, op7_simhash, op8_quality_rules, op9_secrets, op10_toxicity)}

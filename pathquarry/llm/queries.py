@@ -39,6 +39,15 @@ def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_and_read(load(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substrings import deduplicate
+
+    found = deduplicate(load(spark, sf_dir, "documents").select("doc_id", "text"))
+    removed = F.aggregate("runs", F.lit(0).cast("long"), lambda a, r: a + r["end"] - r["start"]).alias("n_removed")
+    spans = F.size("runs").cast("long").alias("n_spans")
+    return found.select("doc_id", "n_bytes", removed, spans, F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .url_rules import judge
 
@@ -79,4 +88,4 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, model).select("doc_id", labelled_split().alias("held_out"), "score", predicted)
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_quality_classifier, op3_mixing, op4_token_output, op6_url_rules, op7_simhash, op8_quality_rules, op9_secrets, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_quality_classifier, op3_mixing, op4_token_output, op5_substring_dedup, op6_url_rules, op7_simhash, op8_quality_rules, op9_secrets, op10_toxicity)}

@@ -156,6 +156,11 @@ def _gathered(parts: Iterator[tuple], work) -> Iterator[pa.RecordBatch]:
         yield from work(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
 
+def _some(b: pa.RecordBatch, which: np.ndarray) -> pa.RecordBatch:
+    """Chosen rows, with the schema of _batch: what comes from Spark can differ from it in nullability."""
+    return pa.RecordBatch.from_arrays(b.filter(pa.array(which)).columns, NAMES)
+
+
 def _columns(b: pa.RecordBatch) -> tuple[np.ndarray, ...]:
     h, s, doc, span = (b.column(c).to_numpy() for c in NAMES[1:])
     return h.view(np.uint64), s.view(np.uint64), doc, span
@@ -186,7 +191,7 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if probe.any():
             held.append(tuple(x[probe] for x in _columns(b)))
         if not probe.all():
-            yield b.filter(pa.array(~probe))
+            yield _some(b, ~probe)
     if held:
         h, s, doc, span = (np.concatenate(x) for x in zip(*held, strict=True))
         order = np.argsort(h, kind="stable")
@@ -291,9 +296,9 @@ def _pass_or_settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     for b in batches:
         gone = b.column("kind").to_numpy() == GONE
         if gone.any():
-            yield b.filter(pa.array(gone))
+            yield _some(b, gone)
         if not gone.all():
-            rest.append(b.filter(pa.array(~gone)))
+            rest.append(_some(b, ~gone))
     yield from _later_strings(iter(rest))
 
 

@@ -10,7 +10,8 @@ refined, and three things keep the refinement from seeing every position:
 1. Of the 69 q-grams of 32 bytes in a string, the one with the least name (the first of equals) stands for it: equal strings have
    equal pointers. Neighbouring strings share theirs, so about one position in 35 is dealt out.
 2. All strings of one pointer make a snippet. Snippets repeated as a whole are settled by their first occurrence.
-3. Only first snippets whose q-gram also occurs in another snippet are refined to 100 bytes, string by string.
+3. Only first snippets whose q-gram also occurs in another snippet are refined to single strings: eight neighbours at a time share
+   the bucket of their common 93 bytes, and with it go the 14 bytes around, seven of which belong to each string.
 
 Before each shuffle a task keeps one record of each bucket, so a bucket with a third of all rows arrives as one record a task.
 
@@ -39,6 +40,9 @@ PACK = 128
 PROBE, KNOWN, GONE = 0, 1, 2
 SCHEMA = "kind byte, h long, s long, doc long, span long"
 NAMES = ["kind", "h", "s", "doc", "span"]
+#: Strings of a block, and n in (first * BLOCK + place in the block) * BITS + n.
+BLOCK, BITS = 8, 16
+DEEP_NAMES = [*NAMES, "l", "r"]
 
 
 def _pair(a: np.ndarray, b: np.ndarray, salt: int) -> np.ndarray:
@@ -51,15 +55,13 @@ def _pair(a: np.ndarray, b: np.ndarray, salt: int) -> np.ndarray:
 
 
 def buckets(data: np.ndarray, upto: int, salt: int) -> np.ndarray:
-    """Identifiers of the buckets of upto (32 or 100) bytes at each position that has them."""
+    """Identifiers of the buckets of upto (32 or 64) bytes at each position that has them."""
     padded = np.concatenate([data, np.zeros(8, np.uint8)])
     name = np.ndarray((len(data) + 1,), "<u8", padded.tobytes(), strides=(1,))[: max(0, len(data) - 7)].copy()
     size = 8
-    while size < min(upto, 64):
+    while size < upto:
         name = _pair(name[: max(0, len(name) - size)], name[size:], salt)
         size *= 2
-    if upto > 64:
-        name = _pair(name[: max(0, len(name) - (upto - 64))], name[upto - 64 :], salt)
     return name
 
 
@@ -143,13 +145,14 @@ def _deal(h, s, doc, span) -> Iterator[pa.RecordBatch]:
         yield _batch(KNOWN, h[several], s[several], doc[several], span[several])
 
 
-def _gathered(parts: Iterator[tuple], work) -> Iterator[pa.RecordBatch]:
-    """work(h, s, doc, span) on up to GATHER records at a time."""
+def _gathered(parts: Iterator[tuple], work, most: int | None = None) -> Iterator[pa.RecordBatch]:
+    """work(*columns) on about `most` records (GATHER) at a time."""
+    most = most or GATHER
     held, n = [], 0
     for p in parts:
         held.append(p)
         n += len(p[0])
-        if n >= GATHER:
+        if n >= most:
             yield from work(*(np.concatenate(x) for x in zip(*held, strict=True)))
             held, n = [], 0
     if held:
@@ -158,7 +161,7 @@ def _gathered(parts: Iterator[tuple], work) -> Iterator[pa.RecordBatch]:
 
 def _some(b: pa.RecordBatch, which: np.ndarray) -> pa.RecordBatch:
     """Chosen rows, with the schema of _batch: what comes from Spark can differ from it in nullability."""
-    return pa.RecordBatch.from_arrays(b.filter(pa.array(which)).columns, NAMES)
+    return pa.RecordBatch.from_arrays(b.filter(pa.array(which)).columns[: len(NAMES)], NAMES)
 
 
 def _columns(b: pa.RecordBatch) -> tuple[np.ndarray, ...]:
@@ -212,41 +215,118 @@ def _first_snippets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield from _deal(h[first], s[first], doc[first], span[first])
 
 
-def _later_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held = [_columns(b) for b in batches if b.num_rows]
-    if held:
-        h, s, doc, span = (np.concatenate(x) for x in zip(*held, strict=True))
-        _, gone = _settle(h, s, doc, span)
-        if len(gone):
-            yield _batch(GONE, h[gone], s[gone], doc[gone], span[gone])
+def blocks(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(core names 1 and 2, block start, first string, strings, 7 bytes before the core, 7 bytes behind it) of strings by their sorted starts.
+
+    Strings are put in blocks of eight by their distance from their pointer, so equal strings are in equal places of their blocks.
+    All strings of a block hold its core of 93 bytes; what else a string holds are seven of the 14 bytes around it.
+    """
+    name = buckets(data, GRAM, 1)
+    point = _least(name, LENGTH - GRAM + 1)[starts]
+    block = point + (starts - point) // BLOCK * BLOCK
+    new = np.concatenate([[True], (block[1:] != block[:-1]) | (starts[1:] != starts[:-1] + 1)])
+    first = np.flatnonzero(new)
+    count = np.diff(np.concatenate([first, [len(starts)]]))
+    block = block[first]
+    core, more = block + BLOCK - 1, LENGTH - BLOCK + 1 - 64
+    one, two = (_pair(n[core], n[core + more], k) for k in (1, 2) for n in (buckets(data, 64, k),))
+    padded = np.concatenate([np.zeros(8, np.uint8), data, np.zeros(16, np.uint8)])
+    words = np.ndarray((len(data) + 17,), "<u8", padded.tobytes(), strides=(1,))
+    seven = np.uint64((1 << 56) - 1)
+    return one, two, block, starts[first], count, words[block + 8] & seven, words[block + 8 + LENGTH] & seven
+
+
+def _names(h, s, at, left, right) -> tuple[np.ndarray, np.ndarray]:
+    """Both names of the at-th string of a block: its core's names with the bytes it holds around the core."""
+    bits = (8 * at).astype(np.uint64)
+    with np.errstate(over="ignore"):
+        own = (at.astype(np.uint64) + np.uint64(1)) << np.uint64(58)
+        return _pair(h + own, left >> bits, 3), _pair(s + own, right & ((np.uint64(1) << bits) - np.uint64(1)), 4)
+
+
+def _unfold(h, s, doc, span, left, right):
+    """(row, name 1, name 2, doc, packed start) of every string of the blocks."""
+    n = span % BITS
+    row = np.repeat(np.arange(len(h)), n)
+    step = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    first = span // BITS
+    one, two = _names(h[row], s[row], (first % BLOCK)[row] + step, left[row], right[row])
+    return row, one, two, doc[row], ((first // BLOCK)[row] + step) * PACK + 1
+
+
+def _runs(doc: np.ndarray, span: np.ndarray) -> pa.RecordBatch:
+    """Gone strings, neighbouring ones put together."""
+    order = np.lexsort((span, doc))
+    doc, start = doc[order], span[order] // PACK
+    new = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (start[1:] != start[:-1] + 1)]))
+    count = np.diff(np.concatenate([new, [len(doc)]]))
+    part = -(-count // (PACK - 1))
+    row = np.repeat(np.arange(len(new)), part)
+    k = (np.arange(len(row)) - np.repeat(np.cumsum(part) - part, part)) * (PACK - 1)
+    return _deep(GONE, np.zeros(len(row), np.uint64), np.zeros(len(row), np.uint64), doc[new][row], (start[new][row] + k) * PACK + np.minimum(count[row] - k, PACK - 1), None, None)
+
+
+def _deep(kind: int, h, s, doc, span, left, right) -> pa.RecordBatch:
+    flat = _batch(kind, h, s, doc, span)
+    ends = [pa.nulls(len(doc), pa.int64()) if x is None else pa.array(x.view(np.int64)) for x in (left, right)]
+    return pa.RecordBatch.from_arrays([*flat.columns, *ends], DEEP_NAMES)
+
+
+def _deep_columns(b: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+    return *_columns(b), *(b.column(c).to_numpy().view(np.uint64) for c in DEEP_NAMES[-2:])
 
 
 def _refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Strings of the snippets in question by their two names; those that come later within the task are gone."""
+    """The strings of the snippets in question, in blocks; strings that come later within the task are gone."""
 
     def parts():
         for b in pieces(batches, "text", SEGMENT):
             data, offsets = text_bytes(b.column("text"))
             doc, spans = b.column("doc").to_numpy(), b.column("spans")
-            values, at = spans.values.to_numpy(), spans.offsets.to_numpy()
-            for r in range(b.num_rows):
-                runs = np.unique(values[at[r] : at[r + 1]])
-                start, n = runs // PACK, runs % PACK
-                # Strings of neighbouring snippets overlap, so names are made once for each stretch of the text.
-                cut = np.flatnonzero(np.concatenate([[True], start[1:] > (start + n)[:-1] + LENGTH]))
-                for i, j in zip(cut, [*cut[1:], len(start)], strict=True):
-                    low, high = int(start[i]), int(start[j - 1] + n[j - 1]) + LENGTH - 1
-                    text = data[offsets[r] + low : offsets[r] + high]
-                    own = np.repeat(start[i:j] - low - (np.cumsum(n[i:j]) - n[i:j]), n[i:j]) + np.arange(n[i:j].sum())
-                    yield buckets(text, LENGTH, 1)[own], buckets(text, LENGTH, 2)[own], np.full(len(own), doc[r]), (own + low) * PACK + 1
+            runs, at = spans.values.to_numpy(), spans.offsets.to_numpy()
+            at = at - at[0]
+            row = np.repeat(np.arange(b.num_rows), np.diff(at))
+            n = runs % PACK
+            of = np.repeat(np.arange(len(runs)), n)
+            starts = np.unique((runs // PACK + offsets[row])[of] + np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n))
+            for low in range(0, len(data), 2 * SEGMENT):  # one turn but for very long texts
+                own = starts[np.searchsorted(starts, low) : np.searchsorted(starts, low + 2 * SEGMENT)]
+                if not len(own):
+                    continue
+                left = max(0, low - BLOCK)
+                h, s, block, first, count, before, behind = blocks(data[left : low + 2 * SEGMENT + 3 * LENGTH], own - left)
+                row_of = np.searchsorted(offsets, first + left, "right") - 1
+                yield h, s, doc[row_of], ((first + left - offsets[row_of]) * BLOCK + first - block) * BITS + count, before, behind
+
+    def work(h, s, doc, span, left, right):
+        row, one, two, docs, starts = _unfold(h, s, doc, span, left, right)
+        first, gone = _settle(one, two, docs, starts)
+        if len(gone):
+            yield _runs(docs[gone], starts[gone])
+        keep = np.unique(row[first])
+        yield _deep(KNOWN, h[keep], s[keep], doc[keep], span[keep], left[keep], right[keep])
 
-    def work(h, s, doc, span):
-        first, gone = _settle(h, s, doc, span)
-        yield _batch(KNOWN, h[first], s[first], doc[first], span[first])
+    return _gathered(parts(), work, GATHER // BLOCK)
+
+
+def _later_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All blocks of a core are in one task: every string but its first occurrence is gone."""
+    held = []
+    for b in batches:
+        gone = b.column("kind").to_numpy() == GONE
+        if gone.any():
+            yield _some(b, gone)
+        if not gone.all():
+            held.append(_deep_columns(b.filter(pa.array(~gone))))
+    if held:
+        _, one, two, docs, starts = _unfold(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        _, gone = _settle(one, two, docs, starts)
         if len(gone):
-            yield _batch(GONE, h[gone], s[gone], doc[gone], span[gone])
+            yield _flat(_runs(docs[gone], starts[gone]))
 
-    return _gathered(parts(), work)
+
+def _flat(b: pa.RecordBatch) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(b.columns[: len(NAMES)], NAMES)
 
 
 def _cover(spans: np.ndarray, n: int) -> list[tuple[int, int]]:
@@ -284,24 +364,13 @@ def removed(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Data
     snippets = saved(found.where(F.col("kind") == KNOWN).repartition(both).mapInArrow(_first_snippets, SCHEMA), "snippets")
     doubt = saved(snippets.where(F.col("kind") != GONE).repartition(by_gram).mapInArrow(_repeated, SCHEMA), "doubt")
     doubt = doubt.groupBy("doc").agg(F.collect_list("span").alias("spans"))
-    strings = own.select("doc", "text").join(doubt, "doc").mapInArrow(_refine, SCHEMA)
-    strings = saved(strings.repartition(F.when(F.col("kind") == GONE, F.col("doc")).otherwise(both)).mapInArrow(_pass_or_settle, SCHEMA), "strings")
+    strings = own.select("doc", "text").join(doubt, "doc").mapInArrow(_refine, f"{SCHEMA}, l long, r long")
+    strings = saved(strings.repartition(F.when(F.col("kind") == GONE, F.col("doc")).otherwise(both)).mapInArrow(_later_strings, SCHEMA), "strings")
     gone = found.where(F.col("kind") == GONE).union(snippets.where(F.col("kind") == GONE)).union(strings)
     gone = gone.groupBy("doc").agg(F.collect_list("span").alias("spans"))
     return own.join(gone, "doc", "left").select("doc_id", "text", "spans")
 
 
-def _pass_or_settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    rest = []
-    for b in batches:
-        gone = b.column("kind").to_numpy() == GONE
-        if gone.any():
-            yield _some(b, gone)
-        if not gone.all():
-            rest.append(_some(b, ~gone))
-    yield from _later_strings(iter(rest))
-
-
 def deduplicate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, kept (the remaining bytes; no longer text where a character was cut), runs (array of start, end), n_bytes."""
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))

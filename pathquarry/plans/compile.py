@@ -13,7 +13,7 @@ from ..functions.derive import fold, name_length, trim_separators
 from ..schema import EPOCH, TICKS
 from . import language as L
 
-_REJECTED = re.compile(r"\(\?[=!<>]|\(\?<[=!]|\\[1-9kGZ]|[*+?}]\+")
+_REJECTED = re.compile(r"\(\?[=!<>]|\(\?<[=!]|\\[1-9kGZ]|[*+?]\+|\{[\d,]*\}\+")
 
 
 def byte_view(c: Column) -> Column:

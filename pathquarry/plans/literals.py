@@ -66,7 +66,8 @@ def date_value(text: str, now: int) -> int | None:
         return day_start(now - int(m[1]) * DAY)
     m = re.match(r"(\d{4})-(\d{2})-(\d{2})(?=$|[t ])", text)
     try:
-        return _unix(int(m[1]), int(m[2]), int(m[3])) if m and int(m[1]) >= 1970 else None
+        day = dt.date(int(m[1]), int(m[2]), int(m[3])) if m else dt.date.min
+        return (day - dt.date(1970, 1, 1)).days * DAY if day.year >= 1970 else None
     except ValueError:
         return None
 

@@ -13,8 +13,8 @@ from ..plans.literals import LARGEST
 
 
 def saturating_sum(c: str) -> Column:
-    total = F.sum(F.col(c).cast("decimal(38,0)"))
-    return F.coalesce(F.least(total, F.lit(Decimal(LARGEST))), F.lit(Decimal(0))).cast("long")
+    total = F.coalesce(F.sum(F.col(c).cast("decimal(38,0)")), F.lit(Decimal(0)))
+    return F.least(total, F.lit(Decimal(LARGEST))).cast("long")
 
 
 def totals(found: DataFrame) -> DataFrame:

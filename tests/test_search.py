@@ -34,8 +34,8 @@ def test_known_queries(spark):
         "AGENTS.md demo.gif": [], "AGENTS.md | demo.gif": ["AGENTS.md", "demo.gif"], "file: md": ["AGENTS.md", "readme.md"], "readme or:demo": ["demo.gif", "readme.md"],
         "size:1mb": ["AGENTS.md"], "size:>=1mb": ["AGENTS.md", "readme.md"], "case:CaseFile.txt": ["CaseFile.txt"], "case:casefile.txt": [], "case:Case*": ["CaseFile.txt"],
         "caf?.rs": [], "caf??.rs": ["café.rs"], "*.tar.gz": ["a.tar.gz"], "ext:env": [".env"], "attrib:h": [".env", "café.rs"], "attrib:n !md": ["a.tar.gz", "demo.gif", "no*star"],
-        r"no\*star": ["no*star"], r"*\**": ["no*star"], "ww:casefile.txt": ["CaseFile.txt"], "len:8": ["café.rs", "demo.gif"], r"C:\p\sub": ["CaseFile.txt", "sub"],
-        r"!C:\p": ["café.rs"], "regex:^[a-d].*": ["CaseFile.txt", "a.tar.gz", "café.rs", "demo.gif"], "regex:(": [], "!regex:( folder:": ["sub"], "regex:É": ["café.rs"],
+        r"no\*star": ["no*star"], r"*\**": ["no*star"], "ww:casefile.txt": ["CaseFile.txt"], "len:8": ["a.tar.gz", "café.rs", "demo.gif"], r"C:\p\sub": ["CaseFile.txt", "sub"],
+        r"!C:\p": ["café.rs"], "regex:^[a-d].*": ["AGENTS.md", "CaseFile.txt", "a.tar.gz", "café.rs", "demo.gif"], "regex:(": [], "!regex:( folder:": ["sub"], "regex:É": ["café.rs"],
     }
     for text, expect in want.items():
         assert names(apply(files, Options(query=text))) == expect, text
@@ -95,10 +95,11 @@ def test_pages_and_orders(spark):
 
 
 def test_pushdown(spark, tmp_path):
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
     frame(spark, ROWS).write.parquet(str(tmp_path / "f"))
-    plan = apply(spark.read.parquet(str(tmp_path / "f")), Options(query="ext:md size:>1kb dm:>1980-01-01", path="C:/p")).select("path")._jdf.queryExecution().toString()
+    plan = apply(spark.read.parquet(str(tmp_path / "f")), Options(query="ext:md,rs size:>1kb dm:>1980-01-01", path="C:/p")).select("path")._jdf.queryExecution().toString()
     for part in ("In(extension", "GreaterThanOrEqual(size", "StringStartsWith(lower_path", "GreaterThanOrEqual(modified"):
-        assert part in plan or part.replace("In(", "EqualTo(") in plan, plan
+        assert part in plan, part
 
 
 def test_aggregate(spark):

@@ -22,6 +22,7 @@ doc_id comes first. Texts of any length are cut into overlapping segments. Only
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -100,19 +101,19 @@ def pointers(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     return row[first], a - offsets[:-1][row[first]], count, name[point[first]], snippet
 
 
-def segments(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def segments(data: np.ndarray, offsets: np.ndarray, segment: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(rows, bases, bytes, offsets): neighbouring short texts together, long ones in segments that overlap by LENGTH - 1."""
     size = np.diff(offsets)
     i = 0
     while i < len(size):
-        if size[i] > SEGMENT + LENGTH - 1:
-            for base in range(0, int(size[i]) - LENGTH + 1, SEGMENT):
-                part = data[offsets[i] + base : min(offsets[i] + base + SEGMENT + LENGTH - 1, offsets[i + 1])]
+        if size[i] > segment + LENGTH - 1:
+            for base in range(0, int(size[i]) - LENGTH + 1, segment):
+                part = data[offsets[i] + base : min(offsets[i] + base + segment + LENGTH - 1, offsets[i + 1])]
                 yield np.array([i]), np.array([base]), part, np.array([0, len(part)])
             i += 1
             continue
         j = i + 1
-        while j < len(size) and size[j] <= SEGMENT + LENGTH - 1 and offsets[j + 1] - offsets[i] <= 2 * SEGMENT:
+        while j < len(size) and size[j] <= segment + LENGTH - 1 and offsets[j + 1] - offsets[i] <= 2 * segment:
             j += 1
         yield np.arange(i, j), np.zeros(j - i, np.int64), data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
         i = j
@@ -145,9 +146,8 @@ def _deal(h, s, doc, span) -> Iterator[pa.RecordBatch]:
         yield _batch(KNOWN, h[several], s[several], doc[several], span[several])
 
 
-def _gathered(parts: Iterator[tuple], work, most: int | None = None) -> Iterator[pa.RecordBatch]:
-    """work(*columns) on about `most` records (GATHER) at a time."""
-    most = most or GATHER
+def _gathered(parts: Iterator[tuple], work, most: int) -> Iterator[pa.RecordBatch]:
+    """work(*columns) on about `most` records at a time."""
     held, n = [], 0
     for p in parts:
         held.append(p)
@@ -169,11 +169,11 @@ def _columns(b: pa.RecordBatch) -> tuple[np.ndarray, ...]:
     return h.view(np.uint64), s.view(np.uint64), doc, span
 
 
-def _find_pointers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _find_pointers(batches: Iterator[pa.RecordBatch], segment: int, gather: int) -> Iterator[pa.RecordBatch]:
     def parts():
-        for b in pieces(batches, "text", SEGMENT):
+        for b in pieces(batches, "text", segment):
             doc = b.column("doc").to_numpy()
-            for rows, bases, data, offsets in segments(*text_bytes(b.column("text"))):
+            for rows, bases, data, offsets in segments(*text_bytes(b.column("text")), segment):
                 row, a, n, h, s = pointers(data, offsets)
                 yield h, s, doc[rows[row]], (a + bases[row]) * PACK + n
 
@@ -183,7 +183,7 @@ def _find_pointers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             yield _batch(GONE, h[gone], s[gone], doc[gone], span[gone])
         yield from _deal(h[first], s[first], doc[first], span[first])
 
-    return _gathered(parts(), work)
+    return _gathered(parts(), work, gather)
 
 
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -276,25 +276,25 @@ def _deep_columns(b: pa.RecordBatch) -> tuple[np.ndarray, ...]:
     return *_columns(b), *(b.column(c).to_numpy().view(np.uint64) for c in DEEP_NAMES[-2:])
 
 
-def _refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _refine(batches: Iterator[pa.RecordBatch], segment: int, gather: int) -> Iterator[pa.RecordBatch]:
     """The strings of the snippets in question, in blocks; strings that come later within the task are gone."""
 
     def parts():
-        for b in pieces(batches, "text", SEGMENT):
+        for b in pieces(batches, "text", segment):
             data, offsets = text_bytes(b.column("text"))
             doc, spans = b.column("doc").to_numpy(), b.column("spans")
-            runs, at = spans.values.to_numpy(), spans.offsets.to_numpy()
-            at = at - at[0]
+            at = spans.offsets.to_numpy()
+            runs = spans.values.to_numpy()[at[0] : at[-1]]  # a slice's values are those of the whole
             row = np.repeat(np.arange(b.num_rows), np.diff(at))
             n = runs % PACK
             of = np.repeat(np.arange(len(runs)), n)
             starts = np.unique((runs // PACK + offsets[row])[of] + np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n))
-            for low in range(0, len(data), 2 * SEGMENT):  # one turn but for very long texts
-                own = starts[np.searchsorted(starts, low) : np.searchsorted(starts, low + 2 * SEGMENT)]
+            for low in range(0, len(data), 2 * segment):  # one turn but for very long texts
+                own = starts[np.searchsorted(starts, low) : np.searchsorted(starts, low + 2 * segment)]
                 if not len(own):
                     continue
                 left = max(0, low - BLOCK)
-                h, s, block, first, count, before, behind = blocks(data[left : low + 2 * SEGMENT + 3 * LENGTH], own - left)
+                h, s, block, first, count, before, behind = blocks(data[left : low + 2 * segment + 3 * LENGTH], own - left)
                 row_of = np.searchsorted(offsets, first + left, "right") - 1
                 yield h, s, doc[row_of], ((first + left - offsets[row_of]) * BLOCK + first - block) * BITS + count, before, behind
 
@@ -306,7 +306,7 @@ def _refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep = np.unique(row[first])
         yield _deep(KNOWN, h[keep], s[keep], doc[keep], span[keep], left[keep], right[keep])
 
-    return _gathered(parts(), work, GATHER // BLOCK)
+    return _gathered(parts(), work, gather // BLOCK)
 
 
 def _later_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -338,7 +338,7 @@ def _cover(spans: np.ndarray, n: int) -> list[tuple[int, int]]:
     return list(zip(a[cut].tolist(), b[np.concatenate([cut[1:], [len(a)]]) - 1].tolist(), strict=True))
 
 
-def removed(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def removed(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", segment: int = SEGMENT, gather: int = GATHER) -> DataFrame:
     """doc_id, text, and runs: array of (start, end) in bytes, the maximal runs to remove."""
     from .mixing import numbered
 
@@ -359,19 +359,19 @@ def removed(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Data
 
     both = F.xxhash64("h", "s")
     by_gram = F.when(F.col("kind") == PROBE, F.col("h")).otherwise(both)
-    found = own.where(F.octet_length("text") >= LENGTH).select("doc", "text").mapInArrow(_find_pointers, SCHEMA)
+    found = own.where(F.octet_length("text") >= LENGTH).select("doc", "text").mapInArrow(partial(_find_pointers, segment=segment, gather=gather), SCHEMA)
     found = saved(found.repartition(by_gram).mapInArrow(_repeated, SCHEMA), "grams")
     snippets = saved(found.where(F.col("kind") == KNOWN).repartition(both).mapInArrow(_first_snippets, SCHEMA), "snippets")
     doubt = saved(snippets.where(F.col("kind") != GONE).repartition(by_gram).mapInArrow(_repeated, SCHEMA), "doubt")
     doubt = doubt.groupBy("doc").agg(F.collect_list("span").alias("spans"))
-    strings = own.select("doc", "text").join(doubt, "doc").mapInArrow(_refine, f"{SCHEMA}, l long, r long")
+    strings = own.select("doc", "text").join(doubt, "doc").mapInArrow(partial(_refine, segment=segment, gather=gather), f"{SCHEMA}, l long, r long")
     strings = saved(strings.repartition(F.when(F.col("kind") == GONE, F.col("doc")).otherwise(both)).mapInArrow(_later_strings, SCHEMA), "strings")
     gone = found.where(F.col("kind") == GONE).union(snippets.where(F.col("kind") == GONE)).union(strings)
     gone = gone.groupBy("doc").agg(F.collect_list("span").alias("spans"))
     return own.join(gone, "doc", "left").select("doc_id", "text", "spans")
 
 
-def deduplicate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def deduplicate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **sizes) -> DataFrame:
     """doc_id, kept (the remaining bytes; no longer text where a character was cut), runs (array of start, end), n_bytes."""
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
@@ -387,4 +387,4 @@ def deduplicate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
                 sizes.append(len(data))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(kept, pa.binary()), pa.array(runs, kind), pa.array(sizes, pa.int64())], ["doc_id", "kept", "runs", "n_bytes"])
 
-    return removed(docs, text, doc_id).mapInArrow(work, "doc_id long, kept binary, runs array<struct<start:long,end:long>>, n_bytes long")
+    return removed(docs, text, doc_id, **sizes).mapInArrow(work, "doc_id long, kept binary, runs array<struct<start:long,end:long>>, n_bytes long")

@@ -2,7 +2,6 @@ import random
 
 import pytest
 
-from pathquarry.llm import substrings
 from pathquarry.llm.substrings import deduplicate
 
 
@@ -27,9 +26,7 @@ def brute(texts):
 
 
 @pytest.mark.parametrize("segment", [1 << 20, 150])
-def test_brute_force(spark, monkeypatch, segment):
-    monkeypatch.setattr(substrings, "SEGMENT", segment)
-    monkeypatch.setattr(substrings, "GATHER", 100 if segment == 150 else 1 << 20)
+def test_brute_force(spark, segment):
     rng = random.Random(4)
     noise = lambda n: "".join(rng.choice("abcdé ") for _ in range(n))
     passages = [noise(rng.randrange(90, 400)) for _ in range(6)]
@@ -40,7 +37,7 @@ def test_brute_force(spark, monkeypatch, segment):
     ids = list(range(10, 10 + len(texts)))
     rng.shuffle(ids)
     docs = spark.createDataFrame([(i, t, 1) for i, t in zip(ids, texts)], "doc_id long, text string, spans int").repartition(3)
-    got = {r.doc_id: r for r in deduplicate(docs).collect()}
+    got = {r.doc_id: r for r in deduplicate(docs, segment=segment, gather=min(segment, 100_000)).collect()}
     order = sorted(zip(ids, texts))
     for (i, t), runs in zip(order, brute([(t or "").encode() for _, t in order])):
         data = (t or "").encode()

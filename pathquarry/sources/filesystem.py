@@ -64,7 +64,11 @@ class _Reader(DataSourceReader):
         return [Subtree(self.root, False, device), *(Subtree(p, True, device) for p in sorted(below, key=os.fsencode))]
 
     def read(self, part: Subtree) -> Iterator[tuple]:
-        todo = [part.path] if part.deep else [p for p in self._children(part.path) if not os.path.isdir(p)]
+        todo = [part.path]
+        if not part.deep:  # the root itself and its files; its directories are partitions of their own
+            todo = [p for p in self._children(part.path) if not os.path.isdir(p)]
+            if (own := stat_path(part.path, self.volume)) is not None:
+                yield own
         while todo:
             path = todo.pop()
             row = stat_path(path, self.volume)

@@ -116,7 +116,8 @@ def test_filesystem(spark, tmp_path):
     (tmp_path / ".hidden").write_text("")
     (tmp_path / "link").symlink_to(tmp_path / "d")
     got = {r.path[len(str(tmp_path)) :]: r for r in filesystem.scan(spark, str(tmp_path), "/does/not/exist").collect()}
-    assert set(got) == {"", "/d", "/d/e", "/d/e/f.txt", "/.hidden"} and got["/d/e/f.txt"].size == 5 and got["/.hidden"].attributes & 2 and got["/d"].is_dir
+    assert set(got) == {"", "/d", "/d/e", "/d/e/f.txt", "/.hidden"}, set(got)
+    assert got["/d/e/f.txt"].size == 5 and got["/.hidden"].attributes & 2 and got["/d"].is_dir
     assert T.read_bodies(spark, [str(tmp_path / "d" / "e" / "f.txt")]).first().body == "12345"
 
 

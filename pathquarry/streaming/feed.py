@@ -12,15 +12,15 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.catalog import Store
 from ..operators.changes import apply_changes
-from ..schema import CATALOG
+from ..schema import CATALOG, EPOCH
 
 PAIRED = "file_ref long, old_path string, new_path string, seq long"
 
 
-def pair_renames(changes: DataFrame, timeout: str = "10 minutes") -> DataFrame:
-    """(file_ref, old_path, new_path, seq): an old name waits for the new one of its file; what waits too long is forgotten.
+def pair_renames(changes: DataFrame, timeout: str = "1 day") -> DataFrame:
+    """(file_ref, old_path, new_path, seq): an old name waits for the new one of its file; what waits longer than timeout is forgotten.
 
-    A RENAME_NEW without an old name comes out with a null old_path, to be put in like a new file.
+    Time is that of the events (a watermark), so runs over what is available now come to an end. A RENAME_NEW without an old name comes out with a null old_path, to be put in like a new file.
     """
     millis = int(pd.Timedelta(timeout).total_seconds() * 1000)
 
@@ -42,11 +42,14 @@ def pair_renames(changes: DataFrame, timeout: str = "10 minutes") -> DataFrame:
                 state.remove()
         else:
             state.update((old,))
-            state.setTimeoutDuration(millis)
+            state.setTimeoutTimestamp(max(int(events.ms.max()) + millis, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(rows, columns=["file_ref", "old_path", "new_path", "seq"])
 
-    renames = changes.where(F.col("reason").isin("RENAME", "RENAME_NEW")).select("file_ref", "seq", "reason", "path")
-    return renames.groupBy("file_ref").applyInPandasWithState(step, PAIRED, "old_path string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    micros = F.floor((F.col("timestamp") - EPOCH) / 10).cast("long")
+    renames = changes.where(F.col("reason").isin("RENAME", "RENAME_NEW"))
+    renames = renames.select("file_ref", "seq", "reason", "path", F.floor(micros / 1000).cast("long").alias("ms"), F.timestamp_micros(micros).alias("event_ts"))
+    renames = renames.withWatermark("event_ts", timeout)
+    return renames.groupBy("file_ref").applyInPandasWithState(step, PAIRED, "old_path string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def apply_to_catalog(changes: DataFrame, store: Store, look_up: Callable[[DataFrame], DataFrame], checkpoint: str, name: str = "feed", **trigger) -> StreamingQuery:
@@ -76,7 +79,7 @@ def to_journal(changes: DataFrame, path: str, checkpoint: str, **trigger) -> Str
 
 def change_rates(changes: DataFrame, seconds: int = 3600, late: str = "10 minutes") -> DataFrame:
     """Extension: counts by event-time window and category, with a watermark for late events."""
-    ts = F.timestamp_micros(F.floor((F.col("timestamp") - 116_444_736_000_000_000) / 10).cast("long"))
+    ts = F.timestamp_micros(F.floor((F.col("timestamp") - EPOCH) / 10).cast("long"))
     windowed = changes.withColumn("event_ts", ts).withWatermark("event_ts", late)
     from ..operators.changes import category
 

@@ -139,9 +139,10 @@ def test_rename_stream(spark, tmp_path):
         stream.writeStream.format("json").option("path", out).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
         return sorted((r.old_path or "", r.new_path) for r in spark.read.schema(feed.PAIRED).json(out).collect())
 
-    write([(1, 1, "RENAME", "/old", False, 7), (2, 2, "RENAME_NEW", "/lonely", False, 8)])
+    at = lambda k: 116444736000000000 + (1_706_616_000 + k) * 10**7
+    write([(1, at(1), "RENAME", "/old", False, 7), (2, at(2), "RENAME_NEW", "/lonely", False, 8)])
     assert run() == [("", "/lonely")]
-    write([(3, 3, "RENAME_NEW", "/new", False, 7)])
+    write([(3, at(3), "RENAME_NEW", "/new", False, 7)])
     assert run() == [("", "/lonely"), ("/old", "/new")] == run()
 
 

@@ -358,14 +358,15 @@ def removed(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", segment
         return spark.read.schema(SCHEMA).parquet(path)
 
     both = F.xxhash64("h", "s")
-    by_gram = F.when(F.col("kind") == PROBE, F.col("h")).otherwise(both)
+    # What is settled only passes through, so it is spread by place, however many share a bucket.
+    by_gram = F.when(F.col("kind") == PROBE, F.col("h")).when(F.col("kind") == GONE, F.xxhash64("doc", "span")).otherwise(both)
     found = own.where(F.octet_length("text") >= LENGTH).select("doc", "text").mapInArrow(partial(_find_pointers, segment=segment, gather=gather), SCHEMA)
     found = saved(found.repartition(by_gram).mapInArrow(_repeated, SCHEMA), "grams")
     snippets = saved(found.where(F.col("kind") == KNOWN).repartition(both).mapInArrow(_first_snippets, SCHEMA), "snippets")
     doubt = saved(snippets.where(F.col("kind") != GONE).repartition(by_gram).mapInArrow(_repeated, SCHEMA), "doubt")
     doubt = doubt.groupBy("doc").agg(F.collect_list("span").alias("spans"))
     strings = own.select("doc", "text").join(doubt, "doc").mapInArrow(partial(_refine, segment=segment, gather=gather), f"{SCHEMA}, l long, r long")
-    strings = saved(strings.repartition(F.when(F.col("kind") == GONE, F.col("doc")).otherwise(both)).mapInArrow(_later_strings, SCHEMA), "strings")
+    strings = saved(strings.repartition(F.when(F.col("kind") == GONE, F.xxhash64("doc", "span")).otherwise(both)).mapInArrow(_later_strings, SCHEMA), "strings")
     gone = found.where(F.col("kind") == GONE).union(snippets.where(F.col("kind") == GONE)).union(strings)
     gone = gone.groupBy("doc").agg(F.collect_list("span").alias("spans"))
     return own.join(gone, "doc", "left").select("doc_id", "text", "spans")

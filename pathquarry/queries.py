@@ -613,6 +613,41 @@ def _(spark, sf):
     return C.rates(fixtures.changes(spark, sf)).withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
+# --- streams, run over what is available ----------------------------------------------------------------------------------
+
+
+def _change_stream(spark: SparkSession, sf: str) -> tuple[DataFrame, str]:
+    """The changes as a stream of JSON files, and a folder for what the stream keeps."""
+    root = _shared(spark, "stream")
+    changes = fixtures.changes(spark, sf)
+    changes.write.json(f"{root}/in")
+    return spark.readStream.schema(changes.schema).json(f"{root}/in"), root
+
+
+@query("ops_06_rename_stream", f"{CHANGES}, {_PAIRS} SELECT file_ref, CASE WHEN lr = 'RENAME' THEN lp END AS old_path, path AS new_path, seq FROM r WHERE reason = 'RENAME_NEW'")
+def _(spark, sf):
+    from .streaming import feed
+
+    stream, root = _change_stream(spark, sf)
+    out = feed.pair_renames(stream, "3650 days").writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/cp")
+    out.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(feed.PAIRED).parquet(f"{root}/out")
+
+
+@query("ops_16_apply_stream", f"{CHANGES}, {_LAST} SELECT b.path, CASE WHEN l.path IS NULL THEN size ELSE size + 1 END AS size FROM base b LEFT JOIN last l ON b.path = l.path WHERE l.path IS NULL OR l.reason NOT IN ('DELETE', 'RENAME')")
+def _(spark, sf):
+    from .operators.catalog import Store
+    from .streaming import feed
+
+    stream, root = _change_stream(spark, sf)
+    store, files = Store(spark, f"{root}/store"), fixtures.base_files(spark, sf)
+    store.replace(files)
+    now = files.withColumn("size", F.col("size") + 1)
+    for _ in range(2):  # the second run finds every batch applied
+        feed.apply_to_catalog(stream, store, lambda paths: now.join(paths, "path", "left_semi"), f"{root}/cp").awaitTermination()
+    return store.read().select("path", "size")
+
+
 # --- sources, sinks, control ----------------------------------------------------------------------------------------------
 
 
@@ -716,6 +751,24 @@ def _(spark, sf):
     return store.read("checkpoints")
 
 
+@query("snk_04_append", f"{CHANGES} SELECT timestamp, reason, path, is_dir FROM changes WHERE seq % 3 = 0 UNION ALL SELECT timestamp, reason, path, is_dir FROM changes WHERE seq % 3 = 1")
+def _(spark, sf):
+    path, changes = _shared(spark, "journal"), fixtures.changes(spark, sf)
+    for k in (0, 1):
+        journal.append(changes.where(F.col("seq") % 3 == k), path)
+    return journal.read(spark, path, None)
+
+
+@query("snk_07_clear", "SELECT 0::BIGINT AS files, 0::BIGINT AS bytes")
+def _(spark, sf):
+    from .operators.catalog import Store
+
+    store = Store(spark, _shared(spark, "store"))
+    store.insert_content(fixtures.contents(spark, sf).withColumn("indexed_at", F.lit(0).cast("long")))
+    store.clear_content()
+    return T.stats(store.read("contents"))
+
+
 @query("opx_02_status", f"{CONTENTS} SELECT (SELECT count(*) FROM files) AS entries, count(*) AS content_files, sum(byte_count)::BIGINT AS content_bytes FROM contents")
 def _(spark, sf):
     from .api import Catalog

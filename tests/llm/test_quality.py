@@ -104,3 +104,33 @@ def test_mixing(spark):
     times = Counter(r.doc_id for r in mixing.repeat(docs).collect())
     assert max(times.values()) <= 6 and mixing.mix(docs.limit(0)).count() == 0
     assert [r.target for r in mixing.mix(docs.withColumn("text", F.lit(None).cast("string"))).limit(2).collect()] == [0.0, 0.0]
+
+
+def test_pipeline_against_brute_force(spark, tmp_path, labelled):
+    """Each stage on its own input: what the model rejects, copies, leaks, repetitions, and ids of the library."""
+    import corpus_pipeline
+    from pathquarry.llm.token_output import Encoder
+
+    docs, labels, rows = labelled
+    rng = random.Random(11)
+    item = prose(rng, 40)
+    extra = [(2000, prose(rng, 80) + " " + item, 0.5), (2001, rows[1][1], 0.5)]
+    docs = docs.drop("score").union(spark.createDataFrame(extra, "doc_id long, text string, s double").drop("s"))
+    docs = docs.withColumn("source", F.lit("one"))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    text = {r.doc_id: r.text for r in docs.collect()}
+    score = {r.doc_id: r.score for r in quality_knn.score(docs, quality_knn.train(docs, labels)).collect()}
+    kept = {i for i in text if score[i] >= 0.7}
+    if 1 in kept:
+        assert 2001 in kept
+        kept.discard(2001)
+    kept.discard(2000)
+    got = [(r.doc_id, r.n_tokens) for r in corpus_pipeline.run(spark, str(tmp_path)).orderBy("start").collect()]
+    times = Counter(i for i, _ in got)
+    assert set(times) <= kept and [i for i, _ in got] == sorted(i for i, _ in got)
+    words = {i: len(text[i].split()) for i in kept}
+    assert len(kept) - len(times) <= 1 and set(times.values()) <= {1, 2} and abs(sum(words[i] * n for i, n in times.items()) - 1.5 * sum(words.values())) <= max(words.values())
+    encoder = Encoder(corpus_pipeline.VOCABULARY)
+    assert all(n == len(encoder.library.encode(text[i], add_special_tokens=False).ids) + 1 for i, n in got)

@@ -5,7 +5,8 @@ in doc_id order. The ids are an integer column, which ORC run-length encodes; ro
 reader skip stripes. `rel_start` counts the ids before a document in its file; `read_back` adds what the files before hold.
 
 Words are separated at single blanks and line feeds, which the vocabulary's pre-tokenizer never joins to what precedes them, so
-a word's ids depend on the word alone; each worker encodes a word once and keeps a bounded table. Texts with two adjacent white
+a word's ids depend on the word alone; each worker encodes a batch's new words in one call and keeps a bounded table of those
+that come again. Texts with two adjacent white
 space characters are encoded whole. The strings of special tokens are ordinary text.
 
 Null and empty texts have only the end id. Repeated rows are repeated in the files, next to each other. A null doc_id sorts first.
@@ -28,8 +29,9 @@ from pyspark.sql import functions as F
 from .common import pieces, shared_path
 
 END_ID = 0
-#: Words that a worker remembers before it starts anew.
-MOST_WORDS = 700_000
+#: Words that a worker remembers before it starts anew, and places in which it notes that it has met a word.
+MOST_WORDS = 250_000
+SEEN = 1 << 24
 ADJACENT = re.compile(r"\s\s")
 #: ORC settings: stripes of 16 MB, a row index entry every 1,000 documents, Bloom filters on doc_id.
 ORC = {"orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.create.index": "true", "orc.row.index.stride": "1000", "orc.stripe.size": str(16 << 20), "orc.compress": "ZSTD"}
@@ -53,6 +55,7 @@ class Encoder:
         self.inner = {"": self.whole(" ")}  # after a blank, which belongs to the word
         self.first = {"": b""}  # at the start of a line
         self.newline = self.whole("\n")
+        self.seen = bytearray(SEEN)
 
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
@@ -77,20 +80,33 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.inner) + len(self.first) > MOST_WORDS:
             self.clear()
-        split = [None if ADJACENT.search(t) else [line.split(" ") for line in t.split("\n")] for t in texts]
+        split = [None if ADJACENT.search(t) else [line.partition(" ") for line in t.split("\n")] for t in texts]
         inner, first = set(), set()
-        for lines in split:
-            for words in lines or ():
-                first.add(words[0])
-                inner.update(words[1:])
-        self.learn(self.inner, inner - self.inner.keys(), " ")
-        self.learn(self.first, first - self.first.keys(), "\n")
+        for k, lines in enumerate(split):
+            if lines is not None:
+                first.update([head for head, _, _ in lines])
+                split[k] = lines = [(head, rest.split(" ") if blank else ()) for head, blank, rest in lines]
+                for _, rest in lines:
+                    inner.update(rest)
+        inner -= self.inner.keys()
+        first -= self.first.keys()
+        self.learn(self.inner, inner.copy(), " ")
+        self.learn(self.first, first.copy(), "\n")
         get, one, out = self.inner.__getitem__, self.first.__getitem__, []
         for text, lines in zip(texts, split, strict=True):
             if lines is None:
                 out.append(self.whole(text))
             else:
-                out.append(self.newline.join([one(w[0]) + b"".join(map(get, w[1:])) for w in lines]))
+                out.append(self.newline.join([one(head) + b"".join(map(get, rest)) for head, rest in lines]))
+        # Words that are met for the first time are forgotten: most never come again.
+        seen, mask = self.seen, SEEN - 1
+        for table, words in ((self.inner, inner), (self.first, first)):
+            for w in words:
+                at = hash(w) & mask
+                if seen[at]:
+                    continue
+                seen[at] = 1
+                del table[w]
         return out
 
 

@@ -125,7 +125,7 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = END_ID, tex
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, total = _encoder(vocabulary), 0
-        for b in pieces(batches, "text"):
+        for b in pieces(batches, "text", 4 << 20):
             ids = [x + end for x in encoder.encode([t or "" for t in b.column("text").to_pylist()])]
             counts = np.array([len(x) // 4 for x in ids], np.int64)
             ends = np.cumsum(counts)

@@ -31,3 +31,17 @@ def test_filter(spark):
     assert [(r.doc_id, r.text) for r in clean(docs, bench).collect()] == [(1, "fine text"), (None, None)]
     assert clean(docs.limit(0), bench).count() == 0 and clean(docs, bench.limit(0)).count() == 3
     assert set(flag(docs, bench).columns) == {"doc_id", "text", "leaks"}
+
+
+def test_every_item_is_found_as_said(spark):
+    """Items with few literals, short ones, and scripts without spaces have no usable template; others keep theirs."""
+    items = ["What is 12 + 30?", "Add 3 4 5 6 7 8 9 10 11 12 13 14", "too short", "Paris London Rome", "日本の首都はどこですか。それは東京です", "แมวนั่งอยู่บนเสื่อในบ้าน", "???"]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    texts = [
+        "He asked what is 12 + 30? and left", "add 3 4 5 6 7 8 9 10 11 12 13 14", "it was Too  short.", "from paris london rome", "問題、日本の首都はどこですか?それは東京です!", "เขาเห็นแมวนั่งอยู่บนเสื่อในบ้านใหญ่",
+        "What is 12 + 31?", "add 3 4 5 6 7 9 8 10 11", "too very short", "a Paris and London", "日本の首都は大阪ではない", "แมวดำ", "??? and nothing", None,
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [(r.doc_id, r.item_id) for r in pairs(docs, bench).collect()]
+    assert sorted(got) == [(i, i) for i in range(6)]
+    assert sorted(r.doc_id for r in clean(docs, bench).collect()) == list(range(6, len(texts)))

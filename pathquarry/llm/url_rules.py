@@ -43,16 +43,16 @@ def fixed(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -> Colum
 
 
 def tokens(url: Column, host: Column, path: Column) -> Column:
-    """Distinct tokens: the last labels of the host, path words (numbers as one), suffix, and query keys with their values."""
-    labels = F.transform(F.slice(F.reverse(F.split(host, r"\.")), 1, 4), lambda x, i: F.concat(F.lit("host"), i.cast("string"), F.lit(":"), x))
+    """Distinct tokens: all labels of the host, from the last, path words (numbers as one), suffix, and query keys with their values."""
+    labels = F.transform(F.reverse(F.split(host, r"\.")), lambda x, i: F.concat(F.lit("host"), i.cast("string"), F.lit(":"), x))
     words = F.transform(F.split(path, r"[^\p{L}\p{N}]+"), lambda w: F.concat(F.lit("path:"), F.regexp_replace(F.lower(w), r"^\p{N}+$", "0")))
-    query = F.transform(F.regexp_extract_all(url, F.lit(r"[?&]([^#&]{1,80})"), F.lit(1)), lambda q: F.concat(F.lit("query:"), q))
+    query = F.transform(F.regexp_extract_all(url, F.lit(r"[?&]([^#&]+)"), F.lit(1)), lambda q: F.concat(F.lit("query:"), q))
     shape = F.array(F.concat(F.lit("scheme:"), F.regexp_extract(url, r"^([A-Za-z]{1,10})://", 1)), F.when(url.contains("#"), F.lit("fragment")))
     both = F.filter(F.concat(labels, words, query, shape), lambda t: t.isNotNull() & ~t.isin("path:", "scheme:"))
     return F.when(host == "", F.array().cast("array<string>")).otherwise(F.array_distinct(both))
 
 
-def mine(pages: DataFrame, labels: DataFrame, least_support: float = 0.01, least_confidence: float = 0.8, most_tokens: int = 4, page_id: str = "page_id") -> DataFrame:
+def mine(pages: DataFrame, labels: DataFrame, least_support: float = 0.01, least_confidence: float = 0.8, page_id: str = "page_id") -> DataFrame:
     """(tokens, n_tokens, confidence, support): rules that say bad, none of which contains another. pages has `__tokens`."""
     from pyspark.ml.fpm import FPGrowth
 
@@ -68,7 +68,7 @@ def mine(pages: DataFrame, labels: DataFrame, least_support: float = 0.01, least
     # Sets are mined there; how often their tokens appear in all baskets is counted afterwards.
     model = FPGrowth(itemsCol="items", minSupport=min(1.0, least_support * n / bad), minConfidence=0.0).fit(
         baskets.where(F.array_contains("items", BAD)).select(F.array_remove("items", BAD).alias("items")))
-    sets = cut(model.freqItemsets.where(F.size("items").between(1, most_tokens)).select(F.array_sort("items").alias("tokens"), F.col("freq").alias("with_bad")))
+    sets = cut(model.freqItemsets.select(F.array_sort("items").alias("tokens"), F.col("freq").alias("with_bad")))
     counted = matches(baskets.select(F.monotonically_increasing_id().alias("__row"), F.col("items").alias("__tokens")), sets, "__row")
     rules = sets.join(counted.groupBy("tokens").agg(F.count("*").alias("with_all")), "tokens")
     rules = rules.select("tokens", F.size("tokens").alias("n_tokens"), (F.col("with_bad") / F.col("with_all")).alias("confidence"), (F.col("with_bad") / F.lit(n)).alias("support"))
@@ -80,7 +80,7 @@ def mine(pages: DataFrame, labels: DataFrame, least_support: float = 0.01, least
 
 
 def matches(pages: DataFrame, rules: DataFrame, row: str) -> DataFrame:
-    """(row, tokens) of the rules whose tokens a page all has. rules: at most a few thousand sets, bounded by 1 / support."""
+    """(row, tokens) of the rules whose tokens a page all has. rules: the sets that reach the support, of any size."""
     listed = rules.select("tokens").withColumn("__list", F.element_at("tokens", 1)).groupBy("__list").agg(F.collect_list("tokens").alias("__sets"))
     near = pages.select(row, "__tokens", F.explode("__tokens").alias("__list")).join(F.broadcast(listed), "__list")
     fit = F.filter("__sets", lambda s: F.size(F.array_except(s, F.col("__tokens"))) == 0)

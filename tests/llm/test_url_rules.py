@@ -29,3 +29,21 @@ def test_mined_rules(spark):
     assert set(rules) == {("host2:spam",)} and rules["host2:spam",].confidence == 1.0
     verdicts = {r.page_id: r.verdict for r in judge(pages, labels).collect()}
     assert verdicts[9999] == "block" and verdicts[20] == "block" and verdicts[21] == "allow" and verdicts[None] == "allow"
+
+
+def test_whole_hosts_and_parameters(spark):
+    long = "x" * 100
+    rows = [(i, f"http://{'bad' if i % 10 == 0 else 'good'}.a.b.example.co.uk/?k={long}{'1' if i % 10 == 5 else '2'}") for i in range(1, 300)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    labels = spark.createDataFrame([(i, 0 if i % 5 == 0 else 1) for i in range(1, 300)], "doc_id long, quality int")
+    assert {r.page_id for r in judge(pages, labels).where("verdict = 'block'").collect()} == {i for i, _ in rows if i % 5 == 0}
+
+
+def test_rules_of_five_tokens(spark):
+    words = "abcde"
+    rows = [(i, "x://h.com/" + "/".join(w for k, w in enumerate(words) if i % 6 != k)) for i in range(1, 400)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    labels = spark.createDataFrame([(i, 0 if i % 6 == 5 else 1) for i in range(1, 400)], "doc_id long, quality int")
+    host, path = parts(F.col("url"))
+    rules = mine(pages.select("page_id", tokens(F.col("url"), host, path).alias("__tokens")), labels).collect()
+    assert [r.tokens for r in rules] == [[f"path:{w}" for w in words]]

@@ -57,7 +57,7 @@ def direct_children(files: DataFrame, volume_root: str = "/") -> DataFrame:
 
 def nearest_rank(values: DataFrame, column: str, share: float) -> DataFrame:
     """One row: the value at rank round((n - 1) * share). An exact rank selection; a sort in ranges, no list of all values."""
-    from .tree import numbered
+    from ..shared import numbered
 
     ranked = numbered(values.select(column), [F.col(column)], "rank")
     at = values.agg(F.round((F.count("*") - 1) * F.lit(share)).cast("long").alias("at"))

@@ -55,9 +55,9 @@ def eligible(path: Column, size: Column, is_dir: Column) -> Column:
 
 def within_budget(files: DataFrame, budget: int = DISK_BUDGET, size: str = "size") -> DataFrame:
     """The files, in path order, up to where their sizes pass the budget: sums of ranges first, then one within the range that is cut."""
-    from .tree import checkpointed
+    from ..shared import cut
 
-    parts = checkpointed(files.repartitionByRange("path").withColumn("__p", F.spark_partition_id()))
+    parts = cut(files.repartitionByRange("path").withColumn("__p", F.spark_partition_id()))
     per = parts.groupBy("__p").agg(F.sum(size).alias("__n"))
     before = F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     per = per.select("__p", before.alias("__b"))

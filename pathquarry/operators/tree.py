@@ -2,31 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.derive import derive, parent
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df without its lineage, in the folder of spark.checkpoint.dir; a temporary one only where that is unset, as in tests."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="pathquarry-"))
-    return df.checkpoint(eager=True)
-
-
-def numbered(df: DataFrame, by: list[Column], name: str) -> DataFrame:
-    """name 0, 1, ... in the order of `by`, sorted in ranges."""
-    parts = checkpointed(df.repartitionByRange(*by).withColumn("__p", F.spark_partition_id()))
-    per = parts.groupBy("__p").agg(F.count("*").alias("__n"))
-    before = F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    within = F.row_number().over(Window.partitionBy("__p").orderBy(*by)) - 1
-    out = parts.withColumn("__i", within).join(F.broadcast(per.withColumn("__b", before).drop("__n")), "__p")
-    return out.withColumn(name, (F.col("__i") + F.col("__b")).cast("long")).drop("__p", "__i", "__b")
+from ..shared import cut
 
 
 def ancestors(path: Column) -> Column:
@@ -67,7 +47,7 @@ def resolve_paths(records: DataFrame, volume_root: str, root_ref: int = 5, sep:
 
     Orphans and cycles get an empty path. Rounds are the logarithm of the deepest path.
     """
-    chain = checkpointed(records.select("file_ref", F.col("parent_ref").alias("up"), F.col("own_name").alias("path")))
+    chain = cut(records.select("file_ref", F.col("parent_ref").alias("up"), F.col("own_name").alias("path")))
     for _ in range(40):
         if chain.where(F.col("up") != root_ref).isEmpty():
             break
@@ -78,7 +58,7 @@ def resolve_paths(records: DataFrame, volume_root: str, root_ref: int = 5, sep:
             F.when((F.col("up") == root_ref) | F.col("__r").isNull(), F.col("up")).otherwise(F.col("__u")).alias("up"),
             F.when(F.col("__p").isNull(), F.col("path")).otherwise(F.concat("__p", F.lit(sep), "path")).alias("path"),
         )
-        nxt = checkpointed(nxt)
+        nxt = cut(nxt)
         stuck = nxt.where(F.col("up") != root_ref)
         done = stuck.join(chain.select("file_ref", F.col("up").alias("__u")), "file_ref").where(F.col("up") != F.col("__u")).isEmpty()
         long = not nxt.where(F.length("path") > 40_000).isEmpty()  # only a cycle makes such paths

@@ -16,6 +16,7 @@ from .operators import tree as R
 from .plans.compile import apply
 from .plans.language import IS_ATTRIBUTE, Options
 from .schema import ATTRIBUTE_BITS
+from .shared import shared_path
 from .sources import filesystem, fixtures, journal
 from .sources.synthetic import synthetic
 
@@ -618,7 +619,7 @@ def _(spark, sf):
 
 def _change_stream(spark: SparkSession, sf: str) -> tuple[DataFrame, str]:
     """The changes as a stream of JSON files, and a folder for what the stream keeps."""
-    root = _shared(spark, "stream")
+    root = shared_path(spark, "stream")
     changes = fixtures.changes(spark, sf)
     changes.write.json(f"{root}/in")
     return spark.readStream.schema(changes.schema).json(f"{root}/in"), root
@@ -651,14 +652,6 @@ def _(spark, sf):
 # --- sources, sinks, control ----------------------------------------------------------------------------------------------
 
 
-def _shared(spark: SparkSession, tag: str) -> str:
-    import tempfile
-    import uuid
-
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir()
-    return f"{root.rstrip('/')}/pathquarry-{tag}-{uuid.uuid4().hex}"
-
-
 @query("src_03_walk")
 def _(spark, sf):
     return filesystem.scan(spark, "/etc").select("path", "size", "is_dir")
@@ -684,7 +677,7 @@ def _(spark, sf):
 
 @query("src_13_journal", f"{CHANGES} SELECT timestamp, reason, path, is_dir FROM changes")
 def _(spark, sf):
-    path = _shared(spark, "journal")
+    path = shared_path(spark, "journal")
     journal.append(fixtures.changes(spark, sf), path)
     return journal.read(spark, path, None)
 
@@ -705,7 +698,7 @@ def _(spark, sf):
 def _(spark, sf):
     from .operators.catalog import Store
 
-    store = Store(spark, _shared(spark, "store"))
+    store = Store(spark, shared_path(spark, "store"))
     store.replace(fixtures.entries(spark, sf))
     return store.read().select("path", "size", "extension")
 
@@ -714,7 +707,7 @@ def _(spark, sf):
 def _(spark, sf):
     from .operators.catalog import Store
 
-    store = Store(spark, _shared(spark, "store"))
+    store = Store(spark, shared_path(spark, "store"))
     store.replace(fixtures.entries(spark, sf).unionByName(fixtures.windows_files(spark, sf).select(*fixtures.entries(spark, sf).columns)))
     store.replace_volume("C:", fixtures.base_files(spark, sf).limit(1).withColumn("path", F.lit("C:\\x.txt")).withColumn("volume", F.lit("C:")))
     return store.read().select("path", "volume")
@@ -735,7 +728,7 @@ def _(spark, sf):
 def _(spark, sf):
     from .operators.catalog import Store
 
-    store = Store(spark, _shared(spark, "store"))
+    store = Store(spark, shared_path(spark, "store"))
     store.insert_content(fixtures.contents(spark, sf).withColumn("indexed_at", F.lit(0).cast("long")), 300_000)
     return store.read("contents").select("path_key", "byte_count")
 
@@ -744,7 +737,7 @@ def _(spark, sf):
 def _(spark, sf):
     from .operators.catalog import Store
 
-    store = Store(spark, _shared(spark, "store"))
+    store = Store(spark, shared_path(spark, "store"))
     schema = "volume string, journal_id long, cursor long"
     store.save_checkpoints(spark.createDataFrame([("C:", 1, 10), ("D:", 2, 30)], schema))
     store.save_checkpoints(spark.createDataFrame([("C:", 1, 20)], schema), volumes_only=True)
@@ -753,7 +746,7 @@ def _(spark, sf):
 
 @query("snk_04_append", f"{CHANGES} SELECT timestamp, reason, path, is_dir FROM changes WHERE seq % 3 = 0 UNION ALL SELECT timestamp, reason, path, is_dir FROM changes WHERE seq % 3 = 1")
 def _(spark, sf):
-    path, changes = _shared(spark, "journal"), fixtures.changes(spark, sf)
+    path, changes = shared_path(spark, "journal"), fixtures.changes(spark, sf)
     for k in (0, 1):
         journal.append(changes.where(F.col("seq") % 3 == k), path)
     return journal.read(spark, path, None)
@@ -763,7 +756,7 @@ def _(spark, sf):
 def _(spark, sf):
     from .operators.catalog import Store
 
-    store = Store(spark, _shared(spark, "store"))
+    store = Store(spark, shared_path(spark, "store"))
     store.insert_content(fixtures.contents(spark, sf).withColumn("indexed_at", F.lit(0).cast("long")))
     store.clear_content()
     return T.stats(store.read("contents"))
@@ -787,7 +780,7 @@ def _(spark, sf):
 def _(spark, sf):
     from .operators.catalog import Store
 
-    store = Store(spark, _shared(spark, "store"))
+    store = Store(spark, shared_path(spark, "store"))
     store.replace(fixtures.entries(spark, sf))
     return store.validate()
 

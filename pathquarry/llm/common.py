@@ -1,17 +1,17 @@
-"""What the operators share: where to write, how to cut lineage, and byte-level views of Arrow text columns."""
+"""What the operators share: byte-level views of Arrow text columns, hashes of byte spans, and the labelled sample."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..shared import cut, join_hot, numbered, shared_path  # noqa: F401  (for the operators)
+
 #: Bytes that end a word: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
 WORD_BYTE = np.ones(256, bool)
@@ -30,34 +30,6 @@ def labelled_split(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir). Only where it is unset, as in tests, a temporary one."""
-    sc = spark.sparkContext
-    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-    if root is None:
-        root = getattr(sc, "_pathquarry_tmp", None)
-        if root is None:
-            root = sc._pathquarry_tmp = "file://" + tempfile.mkdtemp(prefix="pathquarry-")
-    return root
-
-
-def shared_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_root(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """The rows of df, written to the shared checkpoint folder once, without their lineage."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(shared_root(df.sparkSession))
-    return df.checkpoint(eager=True)
-
-
-def let_go(spark: SparkSession) -> None:
-    """Lets Spark's cleaner drop the shuffle files of frames that are no longer referenced."""
-    spark.sparkContext._jvm.System.gc()
-
-
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets): the UTF-8 of all rows laid end to end; null rows are empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -65,7 +37,7 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     if column.null_count:
         column = pc.fill_null(column, "")
     if not pa.types.is_large_string(column.type):
-        column = column.cast(pa.large_string())
+        column = column.cast(pa.large_binary() if pa.types.is_binary(column.type) else pa.large_string())
     _, offsets, data = column.buffers()
     o = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1] if offsets is not None and len(column) else np.zeros(1, np.int64)
     d = np.frombuffer(data, np.uint8)[o[0] : o[-1]] if data is not None else np.zeros(0, np.uint8)
@@ -150,13 +122,17 @@ class SpanHash:
             return mix64((self.sums[ends] - self.sums[starts]) * self.inverse[starts] + (ends - starts).astype(np.uint64))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int) -> DataFrame:
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, class_bytes: int = 32 << 20) -> DataFrame:
     """(text, y) of at most per_class labelled ids of each class, chosen by a hash of the id, never from the held-out split.
 
-    An id with several labels counts as 1 if any is 1. The sample's ids are few by construction, so they are broadcast.
+    An id with several labels counts as 1 if any is 1. The sample's ids are few by construction, so they are broadcast. Texts are
+    whole; if those of a class are more than class_bytes, the last of them by the hash are left out (one stays in any case).
     """
     known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~labelled_split())
     known = known.groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
     some = [known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for y in (0, 1)]
     ids = some[0].union(some[1]).select(F.col("doc_id").alias("__k"), "y")
-    return docs.join(F.broadcast(ids), F.col("doc_id") == F.col("__k")).select("text", "y")
+    rows = docs.select(F.col("doc_id").alias("__d"), "text").join(F.broadcast(ids), F.col("__d") == F.col("__k"))
+    size = F.coalesce(F.octet_length("text"), F.lit(0))
+    before = F.sum(size).over(Window.partitionBy("y").orderBy(F.xxhash64("__k"), "__k", "text").rowsBetween(Window.unboundedPreceding, -1))
+    return rows.withColumn("__b", F.coalesce(before, F.lit(0))).where(F.col("__b") < class_bytes).select("text", "y")

@@ -6,8 +6,8 @@ clamp. A source's target is then met exactly (to the word): every document is re
 the rest is taken from documents in the order of md5(seed:doc_id), whole ones until the last, of which only a part is taken.
 
 Null texts have size 0 and take nothing. A null source is a source of its own, the last. Sources without words get target 0.
-Repeated rows are rows of their own; equal ids are ordered by size, so reruns agree on every row's values. Extra columns pass
-through; columns named like the results are replaced.
+Repeated rows are rows of their own; equal ids are ordered by size, so reruns agree on every row's values. Texts of any length are
+counted whole. An empty table gives no rows. Extra columns pass through; columns named like the results are replaced.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, numbered
 
 WEIGHTS = (5, 2, 1)
 SEED = 17
@@ -31,15 +31,6 @@ def words_in(text):
     return (F.length(t) - F.length(F.regexp_replace(t, r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D]", ""))).cast("long")
 
 
-def numbered(sources: DataFrame, by: list, name: str = "rank") -> DataFrame:
-    """rank 0, 1, ... in the order of `by`: sorted in ranges, with each range's first rank added; no task sees all rows."""
-    parts = cut(sources.repartitionByRange(*by).withColumn("__p", F.spark_partition_id()))
-    per = parts.groupBy("__p").agg(F.count("*").alias("__n"))
-    first = per.withColumn("__b", F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    within = F.row_number().over(Window.partitionBy("__p").orderBy(*by)) - 1
-    return parts.withColumn("__i", within).join(F.broadcast(first.drop("__n")), "__p").withColumn(name, (F.col("__i") + F.col("__b")).cast("long")).drop("__p", "__i", "__b")
-
-
 def fill(sizes: DataFrame, share: float, max_epochs: float) -> DataFrame:
     """sizes(source_size, weight, ...) with target. Each round is one aggregate; rounds end when no further source is clamped."""
     total = float(sizes.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0]) * share
@@ -92,11 +83,15 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = 1.5,
 def repeat(docs: DataFrame, **how) -> DataFrame:
     """The mix itself: rows of docs, as often as `mix` takes them whole (a part of more than half a document counts as one).
 
-    mix() leaves texts out of its tables, so they are joined back by id; of rows with one id each is repeated alike.
+    mix() leaves texts out of its tables, so they are joined back by id; of rows with one id each is repeated alike. Rows without an
+    id are told apart by source and text (a hash of it), so that they aren't one hot key.
     """
-    doc_id = how.get("doc_id", "doc_id")
+    doc_id, source, text = (how.get(k, k) for k in ("doc_id", "source", "text"))
     n = F.col("copies") + F.when(2 * F.col("part") > F.col("size"), 1).otherwise(0)
-    times = mix(docs.select(*{doc_id, how.get("source", "source"), how.get("text", "text")}), **how)
-    times = times.groupBy(F.col(doc_id).alias("__k")).agg(F.max(n).cast("int").alias("__n"))
-    joined = docs.join(times, F.col(f"`{doc_id}`").eqNullSafe(F.col("__k"))).where("__n > 0")
-    return joined.withColumn("__r", F.explode(F.sequence(F.lit(1), F.col("__n")))).drop("__k", "__n", "__r")
+    tell = lambda df: F.when(df[f"`{doc_id}`"].isNull(), F.xxhash64(df[f"`{source}`"], df[f"`{text}`"])).otherwise(F.lit(0))
+    own = docs.select(*dict.fromkeys((doc_id, source, text)))
+    times = mix(own.withColumn("__h", tell(own)), **how)
+    times = times.groupBy(F.col(f"`{doc_id}`").alias("__k"), "__h").agg(F.max(n).cast("int").alias("__n"))
+    same = docs[f"`{doc_id}`"].eqNullSafe(times["__k"]) & (tell(docs) == times["__h"])
+    joined = docs.join(times.where("__n > 0"), same)
+    return joined.withColumn("__r", F.explode(F.sequence(F.lit(1), F.col("__n")))).drop("__k", "__h", "__n", "__r")

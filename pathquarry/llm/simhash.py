@@ -1,13 +1,17 @@
 """SimHash near-duplicates by a byte-position inverted index with count filtering.
 
 A fingerprint is eight bytes. Two fingerprints that differ in at most `distance` bits differ in at most that many bytes, so they
-share at least 8 - distance bytes at equal positions: the guaranteed minimum of matches. The index lists every fingerprint under
-each combination of that many positions with its bytes there. Within a list the shared positional bytes of pairs are tallied,
-a pair is kept only in the first combination that its shared positions contain, and verified by its differing bits.
-Only links enough to connect a list's fingerprints leave it, not all pairs; equal fingerprints are one entry from the start.
+share at least 8 - distance bytes at equal positions: the guaranteed minimum of matches. Lists of single positional bytes would hold
+1/256 of all documents each, and a tally over them would meet nearly all pairs; so the index lists every fingerprint under each
+combination of that minimum's many positions with its bytes there. To be in one list is to have reached the count: the tally is made
+by the key, and what it decides within a list is in which one of its lists a pair is taken (the first combination among its shared
+positions). Pairs that reach the count are verified by their differing bits. Only links enough to connect a list's fingerprints
+leave it, not all pairs; equal fingerprints are one entry from the start.
 
 Null and empty texts have fingerprint zero and are linked like others. Repeated rows (equal ids) keep their rows. A null doc_id
 keeps its row, is never a representative, and gets a component only through documents with an id. An empty table gives no rows.
+Texts of any length are read whole, a batch of at least one at a time. Columns of the input named fp or component_id are replaced by
+the results; all other columns pass through.
 """
 
 from __future__ import annotations
@@ -21,7 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, cut, pieces, shared_path, text_bytes, word_spans
+from . import near_text
+from .common import LOWER, cut, join_hot, pieces, shared_path, text_bytes, word_spans
 from .components import components
 
 SEED = 42
@@ -215,19 +220,27 @@ def links(reps: DataFrame, distance: int = DISTANCE) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, distance: int = DISTANCE, width: int = WIDTH, seed: int = SEED, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """docs without text, with fp and component_id, the smallest id reachable by links."""
-    rows = cut(fingerprints(docs.drop("component_id"), width, seed, text))
-    reps = cut(rows.groupBy("fp").agg(F.min(f"`{doc_id}`").alias("rep")).where("rep is not null"))
-    found = components(links(reps, distance))
-    ids = reps.join(found, reps.rep == found.node, "left").select(F.col("fp").alias("__f"), F.coalesce("component", "rep").alias("component_id"))
-    return rows.join(ids, F.col("fp") == F.col("__f"), "left").drop("__f")
+    rows = cut(fingerprints(docs.drop("component_id"), width, seed, text), "fingerprints")
+    counted = cut(rows.groupBy("fp").agg(F.min(f"`{doc_id}`").alias("rep"), F.count("*").alias("__n")), "fingerprints")
+    reps = counted.where("rep is not null")
+    found = components(links(reps.select("fp", "rep"), distance))
+    ids = counted.join(found, counted.rep == found.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"), "__n")
+    return join_hot(rows, ids, "fp", "__n", rows.count()).select(*rows.columns, "component_id")
 
 
-def keep_one(docs: DataFrame, **how) -> DataFrame:
-    """The rows of docs that represent their component: those whose id is the component's smallest; rows without an id stay.
+def keep_one(docs: DataFrame, by: str = "fingerprints", text: str = "text", doc_id: str = "doc_id", **how) -> DataFrame:
+    """The rows of docs that represent their component: those with its smallest id. Rows without an id stay.
 
-    Repeated rows of that id stay together (they are one document).
+    by="fingerprints" links as near_duplicates does; by="shingles" links five-word shingle sets of Jaccard similarity 0.8 or more
+    (near_text), which no number of equal positional bytes is guaranteed for. What stays or goes is a text of an id: of rows with
+    equal ids but different texts each is judged by its own text's component. Equal rows of the smallest id stay together.
     """
-    doc_id = how.get("doc_id", "doc_id")
-    found = near_duplicates(docs.select(*dict.fromkeys((doc_id, how.get("text", "text")))), **how)
-    gone = found.where(F.col(f"`{doc_id}`") != F.col("component_id")).select(F.col(f"`{doc_id}`").alias("__k")).distinct()
-    return docs.join(gone, F.col(f"`{doc_id}`") == F.col("__k"), "left_anti")
+    own = docs.select(*dict.fromkeys((f"`{doc_id}`", f"`{text}`")))
+    if by == "shingles":
+        found = near_text.near_duplicates(own, text, doc_id)
+    else:
+        found = near_duplicates(own.withColumn("__t", near_text.text_hash(F.col(f"`{text}`"))), text=text, doc_id=doc_id, **how)
+        found = found.select(F.col(f"`{doc_id}`").alias("id"), F.col("__t").alias("text_hash"), "component_id")
+    gone = found.where("id <> component_id").select("id", "text_hash").distinct()
+    same = (docs[f"`{doc_id}`"] == gone["id"]) & (near_text.text_hash(docs[f"`{text}`"]) == gone["text_hash"])
+    return docs.join(gone, same, "left_anti")

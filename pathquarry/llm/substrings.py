@@ -3,9 +3,9 @@
 Every string of LENGTH bytes that also starts earlier (in a smaller doc_id, or earlier in its document) is found, and the bytes
 it covers are removed. As in bucket-pointer refinement, positions are first put into buckets of equal q-grams; the bucket of 2q
 bytes is named by the pair of bucket identifiers at the position and q bytes later, and names once made are used again (8, 16,
-32, 64, and 100 = 64 and 64 at offset 36). Names are 64-bit mixes of the pairs, so that tasks agree on them without exchanging
-rank tables; what is decided by names uses two independent ones, 128 bits. Buckets with one member are dropped before they are
-refined, and three things keep the refinement from seeing every position:
+32, 64, and 100 = 64 and 64 at offset 36). Pointers are then dealt by their bucket and sorted on its identifiers: buckets with one
+member are dropped, the others refined by the identifiers of what stands at later offsets, and sorted on these in turn. Three things
+keep the refinement from seeing every position:
 
 1. Of the 69 q-grams of 32 bytes in a string, the one with the least name (the first of equals) stands for it: equal strings have
    equal pointers. Neighbouring strings share theirs, so about one position in 35 is dealt out.
@@ -13,23 +13,30 @@ refined, and three things keep the refinement from seeing every position:
 3. Only first snippets whose q-gram also occurs in another snippet are refined to single strings: eight neighbours at a time share
    the bucket of their common 93 bytes, and with it go the 14 bytes around, seven of which belong to each string.
 
-Before each shuffle a task keeps one record of each bucket, so a bucket with a third of all rows arrives as one record a task.
+Identifiers are not ranks but 64-bit mixes of the identifiers that make them, so that tasks agree on them without exchanging tables,
+and strings are never compared byte by byte. A string counts as repeated if two independent names agree (128 bits), a whole snippet
+if its q-gram's name and a name of all its bytes do; of snippets that do share their q-gram only the latter's 64 bits decide.
+
+Tasks stream what Spark has sorted, and hold no partition. Before each shuffle a task keeps one record of each bucket, so a bucket
+with a third of all rows arrives as one record a task; a core that very many different strings share is taken in parts, whose
+strings are dealt again by their own names.
 
 Null and empty texts have no bytes. Rows of one doc_id are taken in the order of their text, equal rows in any order; a null
-doc_id comes first. Texts of any length are cut into overlapping segments. Only doc_id and text are read. No rows give no rows.
+doc_id comes first. Texts of any length are cut into overlapping segments. Only doc_id and text are read, so other columns can't
+clash. No rows give no rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SpanHash, let_go, mix64, pieces, shared_path, text_bytes
+from .common import SpanHash, cut, mix64, numbered, pieces, text_bytes
 
 LENGTH = 100
 GRAM = 32
@@ -38,7 +45,9 @@ SEGMENT = 1 << 20
 GATHER = 1 << 20
 #: n in at * PACK + n: strings of one pointer.
 PACK = 128
-PROBE, KNOWN, GONE = 0, 1, 2
+PROBE, KNOWN, GONE, STRING = 0, 1, 2, 3
+#: Blocks of one core that a task takes at once.
+MANY = 1 << 15
 SCHEMA = "kind byte, h long, s long, doc long, span long"
 NAMES = ["kind", "h", "s", "doc", "span"]
 #: Strings of a block, and n in (first * BLOCK + place in the block) * BITS + n.
@@ -186,33 +195,76 @@ def _find_pointers(batches: Iterator[pa.RecordBatch], segment: int, gather: int)
     return _gathered(parts(), work, gather)
 
 
+class _Deal:
+    """Firsts in the order of h, in any number of parts: one probe of each h, and all of an h that has several here as known."""
+
+    def __init__(self):
+        self.last, self.seen = None, False  # the last row so far, which the next one tells about, and whether its h came before it
+
+    def add(self, *columns: np.ndarray, probes: bool = True) -> Iterator[pa.RecordBatch]:
+        if not len(columns[0]):
+            return
+        if self.last is not None:
+            columns = tuple(np.concatenate(x) for x in zip(self.last, columns, strict=True))
+        same = columns[0][1:] == columns[0][:-1]
+        before = np.concatenate([[self.seen], same])
+        yield from self._rows(columns, ~before[:-1] & probes, before[:-1] | same)
+        self.last, self.seen = tuple(x[-1:].copy() for x in columns), bool(before[-1])
+
+    def close(self, probes: bool = True) -> Iterator[pa.RecordBatch]:
+        if self.last is not None:
+            yield from self._rows(self.last, np.array([not self.seen and probes]), np.array([self.seen]))
+
+    @staticmethod
+    def _rows(columns, probe: np.ndarray, known: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for kind, which in ((PROBE, np.flatnonzero(probe)), (KNOWN, np.flatnonzero(known))):
+            if len(which):
+                yield _batch(kind, *(x[which] for x in columns))
+
+
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Probes that meet another of their h are known to be repeated, others are dropped; known and gone ones pass."""
-    held = []
+    """Rows sorted by kind and h. Probes that meet another of their h are known to be repeated, others are dropped; the rest passes."""
+    deal = _Deal()
     for b in batches:
         probe = b.column("kind").to_numpy() == PROBE
-        if probe.any():
-            held.append(tuple(x[probe] for x in _columns(b)))
+        yield from deal.add(*(x[probe] for x in _columns(b)), probes=False)
         if not probe.all():
             yield _some(b, ~probe)
-    if held:
-        h, s, doc, span = (np.concatenate(x) for x in zip(*held, strict=True))
-        order = np.argsort(h, kind="stable")
-        same = h[order][1:] == h[order][:-1]
-        twice = order[np.concatenate([same, [False]]) | np.concatenate([[False], same])]
-        if len(twice):
-            yield _batch(KNOWN, h[twice], s[twice], doc[twice], span[twice])
+    yield from deal.close(probes=False)
+
+
+def _firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """Rows sorted by bucket identifiers h and s, then by place: (columns, first of its bucket, later occurrence)."""
+    last = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        columns = _columns(b)
+        both = columns if last is None else tuple(np.concatenate(x) for x in zip(last, columns, strict=True))
+        equal = [x[1:] == x[:-1] for x in both]
+        if last is None:
+            equal = [np.concatenate([[False], x]) for x in equal]
+        first = ~(equal[0] & equal[1])
+        # Repeats of one and the same record are no later occurrences.
+        yield columns, first, ~first & ~(equal[2] & equal[3])
+        last = tuple(x[-1:].copy() for x in columns)
 
 
 def _first_snippets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """All of an (h, s) are in one task: later occurrences are gone, first ones are dealt by h again."""
-    held = [_columns(b) for b in batches if b.num_rows]
-    if held:
-        h, s, doc, span = (np.concatenate(x) for x in zip(*held, strict=True))
-        first, gone = _settle(h, s, doc, span)
-        if len(gone):
-            yield _batch(GONE, h[gone], s[gone], doc[gone], span[gone])
-        yield from _deal(h[first], s[first], doc[first], span[first])
+    deal = _Deal()
+    for columns, first, gone in _firsts(batches):
+        if gone.any():
+            yield _batch(GONE, *(x[gone] for x in columns))
+        yield from deal.add(*(x[first] for x in columns))
+    yield from deal.close()
+
+
+def _last_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All of a string are in one task: every one but the first is gone."""
+    for columns, _, gone in _firsts(batches):
+        if gone.any():
+            yield _batch(GONE, *(x[gone] for x in columns))
 
 
 def blocks(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -309,20 +361,50 @@ def _refine(batches: Iterator[pa.RecordBatch], segment: int, gather: int) -> Ite
     return _gathered(parts(), work, gather // BLOCK)
 
 
-def _later_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All blocks of a core are in one task: every string but its first occurrence is gone."""
-    held = []
+def _later_strings(batches: Iterator[pa.RecordBatch], most: int = MANY) -> Iterator[pa.RecordBatch]:
+    """Blocks sorted by core: every string but its first occurrence is gone.
+
+    A core with more than `most` blocks is taken in parts; what is first in its part is handed on as a string, to be dealt by its own
+    names, so no task holds a whole core however many blocks share it.
+    """
+    held: list[tuple] = []  # blocks of the last core so far
+    parted = False
+
+    def settle(columns: tuple, hand_on: bool) -> Iterator[pa.RecordBatch]:
+        _, one, two, docs, starts = _unfold(*columns)
+        first, gone = _settle(one, two, docs, starts)
+        if len(gone):
+            yield _flat(_runs(docs[gone], starts[gone]))
+        if hand_on:
+            yield _batch(STRING, one[first], two[first], docs[first], starts[first])
+
     for b in batches:
         gone = b.column("kind").to_numpy() == GONE
         if gone.any():
             yield _some(b, gone)
-        if not gone.all():
-            held.append(_deep_columns(b.filter(pa.array(~gone))))
+        if gone.all():
+            continue
+        columns = _deep_columns(b.filter(pa.array(~gone)))
+        if held:
+            columns = tuple(np.concatenate(x) for x in zip(*held, columns, strict=True))
+            held = []
+        h, s = columns[:2]
+        new = np.flatnonzero((h[1:] != h[:-1]) | (s[1:] != s[:-1])) + 1
+        if parted and len(new):  # the end of a core of which parts were handed on
+            yield from settle(tuple(x[: new[0]] for x in columns), True)
+            columns, parted = tuple(x[new[0] :] for x in columns), False
+            new = new[1:] - new[0]
+        last = int(new[-1]) if len(new) else 0
+        if last:
+            yield from settle(tuple(x[:last] for x in columns), False)
+        rest = tuple(x[last:] for x in columns)
+        if len(rest[0]) > most:
+            yield from settle(rest, True)
+            parted = True
+        elif len(rest[0]):
+            held = [rest]
     if held:
-        _, one, two, docs, starts = _unfold(*(np.concatenate(x) for x in zip(*held, strict=True)))
-        _, gone = _settle(one, two, docs, starts)
-        if len(gone):
-            yield _flat(_runs(docs[gone], starts[gone]))
+        yield from settle(held[0], parted)
 
 
 def _flat(b: pa.RecordBatch) -> pa.RecordBatch:
@@ -338,37 +420,34 @@ def _cover(spans: np.ndarray, n: int) -> list[tuple[int, int]]:
     return list(zip(a[cut].tolist(), b[np.concatenate([cut[1:], [len(a)]]) - 1].tolist(), strict=True))
 
 
-def removed(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", segment: int = SEGMENT, gather: int = GATHER) -> DataFrame:
+def removed(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", segment: int = SEGMENT, gather: int = GATHER, many: int = MANY) -> DataFrame:
     """doc_id, text, and runs: array of (start, end) in bytes, the maximal runs to remove."""
-    from .mixing import numbered
-
-    spark = docs.sparkSession
     own = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     rows, ids = own.agg(F.count("*"), F.count_distinct("doc_id")).first()
     if rows == ids:
         own = own.withColumn("doc", F.col("doc_id"))
     else:
-        own = numbered(own, [F.col("doc_id").asc_nulls_first(), F.col("text")], "doc")
-        own.write.parquet(path := shared_path(spark, "substring-rows"))
-        own = spark.read.parquet(path)
+        own = cut(numbered(own, [F.col("doc_id").asc_nulls_first(), F.col("text")], "doc"), "substring-rows")
 
-    def saved(df: DataFrame, tag: str) -> DataFrame:
-        df.write.parquet(path := shared_path(spark, f"substrings-{tag}"))
-        let_go(spark)
-        return spark.read.schema(SCHEMA).parquet(path)
+    def dealt(df: DataFrame, by, work, *order: str) -> DataFrame:
+        """Rows of one bucket in one task, sorted by bucket identifiers (Spark spills what doesn't fit), streamed through work."""
+        return cut(df.repartition(by).sortWithinPartitions(*order).mapInArrow(work, SCHEMA), "substrings")
 
-    both = F.xxhash64("h", "s")
+    both, place = F.xxhash64("h", "s"), ("h", "s", "doc", "span")
     # What is settled only passes through, so it is spread by place, however many share a bucket.
     by_gram = F.when(F.col("kind") == PROBE, F.col("h")).when(F.col("kind") == GONE, F.xxhash64("doc", "span")).otherwise(both)
     found = own.where(F.octet_length("text") >= LENGTH).select("doc", "text").mapInArrow(partial(_find_pointers, segment=segment, gather=gather), SCHEMA)
-    found = saved(found.repartition(by_gram).mapInArrow(_repeated, SCHEMA), "grams")
-    snippets = saved(found.where(F.col("kind") == KNOWN).repartition(both).mapInArrow(_first_snippets, SCHEMA), "snippets")
-    doubt = saved(snippets.where(F.col("kind") != GONE).repartition(by_gram).mapInArrow(_repeated, SCHEMA), "doubt")
+    found = dealt(found, by_gram, _repeated, "kind", "h")
+    snippets = dealt(found.where(F.col("kind") == KNOWN), both, _first_snippets, *place)
+    doubt = dealt(snippets.where(F.col("kind") != GONE), by_gram, _repeated, "kind", "h")
     doubt = doubt.groupBy("doc").agg(F.collect_list("span").alias("spans"))
     strings = own.select("doc", "text").join(doubt, "doc").mapInArrow(partial(_refine, segment=segment, gather=gather), f"{SCHEMA}, l long, r long")
-    strings = saved(strings.repartition(F.when(F.col("kind") == GONE, F.xxhash64("doc", "span")).otherwise(both)).mapInArrow(_later_strings, SCHEMA), "strings")
-    gone = found.where(F.col("kind") == GONE).union(snippets.where(F.col("kind") == GONE)).union(strings)
-    gone = gone.groupBy("doc").agg(F.collect_list("span").alias("spans"))
+    strings = dealt(strings, F.when(F.col("kind") == GONE, F.xxhash64("doc", "span")).otherwise(both), partial(_later_strings, most=many), "h", "s")
+    gone = [x.where(F.col("kind") == GONE).select("doc", "span") for x in (found, snippets, strings)]
+    parted = strings.where(F.col("kind") == STRING)
+    if not parted.isEmpty():
+        gone.append(dealt(parted, both, _last_strings, *place).select("doc", "span"))
+    gone = reduce(DataFrame.union, gone).groupBy("doc").agg(F.collect_list("span").alias("spans"))
     return own.join(gone, "doc", "left").select("doc_id", "text", "spans")
 
 

@@ -75,3 +75,28 @@ def test_documents(spark):
     assert got == {(5, 2), (2, 2), (9, near), (7, 7), (1, 1), (3, 1), (None, 2)}
     assert sorted(r.doc_id or -1 for r in keep_one(docs).collect()) == sorted([2, 2, 7, 1, -1] + ([9] if near == 9 else []))
     assert near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_keep_one_tells_texts_of_one_id_apart(spark):
+    text = " ".join(f"word{i}" for i in range(300))
+    other = " ".join(f"else{i}" for i in range(300))
+    docs = spark.createDataFrame([(2, text, 1), (5, text, 1), (5, other, 1), (5, other, 1), (None, text, 1)], "doc_id long, text string, fp int")
+    kept = keep_one(docs)
+    assert kept.columns == docs.columns
+    assert sorted(((r.doc_id or 0), r.text[:4]) for r in kept.collect()) == [(0, "word"), (2, "word"), (5, "else"), (5, "else")]
+
+
+def test_hot_fingerprint_and_hub(spark, monkeypatch):
+    """Most rows have one text, and one node has most edges: both go through the broadcast of few keys."""
+    rows = [(i, "same words in all of these" if i % 3 else f"text {i} of its own kind {i * i}") for i in range(4000)]
+    got = {r.doc_id: r.component_id for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(got) == 4000 and all(got[i] == 1 for i in range(4000) if i % 3)
+    edges = spark.createDataFrame([(5, i) for i in range(10, 4000)] + [(5, 3), (9000, 9001)], "a long, b long")
+    got = {r.node: r.component for r in components(edges).collect()}
+    assert got == {5: 3, 9001: 9000} | {i: 3 for i in range(10, 4000)}
+
+
+def test_very_long_text(spark):
+    text = "Word " * 400_000
+    got = fingerprints(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert got.fp & (2**64 - 1) == brute_fp("word word word word")

@@ -25,8 +25,8 @@ def brute(texts):
     return out
 
 
-@pytest.mark.parametrize("segment", [1 << 20, 150])
-def test_brute_force(spark, segment):
+@pytest.mark.parametrize(("segment", "many"), [(1 << 20, 1 << 15), (150, 2)])
+def test_brute_force(spark, segment, many):
     rng = random.Random(4)
     noise = lambda n: "".join(rng.choice("abcdé ") for _ in range(n))
     passages = [noise(rng.randrange(90, 400)) for _ in range(6)]
@@ -37,7 +37,7 @@ def test_brute_force(spark, segment):
     ids = list(range(10, 10 + len(texts)))
     rng.shuffle(ids)
     docs = spark.createDataFrame([(i, t, 1) for i, t in zip(ids, texts)], "doc_id long, text string, spans int").repartition(3)
-    got = {r.doc_id: r for r in deduplicate(docs, segment=segment, gather=min(segment, 100_000)).collect()}
+    got = {r.doc_id: r for r in deduplicate(docs, segment=segment, gather=min(segment, 100_000), many=many).collect()}
     order = sorted(zip(ids, texts))
     for (i, t), runs in zip(order, brute([(t or "").encode() for _, t in order])):
         data = (t or "").encode()
@@ -52,3 +52,23 @@ def test_repeated_rows_and_empty(spark):
     got = sorted(((r.doc_id is not None, r.doc_id or 0), len(r.runs)) for r in deduplicate(docs).collect())
     assert got[0] == ((False, 0), 0) and [g[1] for g in got[1:3]] == [1, 1]
     assert deduplicate(docs.limit(0)).count() == 0
+
+
+def test_many_different_strings_around_one_core(spark):
+    """A passage of 93 bytes between texts that all differ: no string is repeated, and the core is taken in parts."""
+    rng = random.Random(3)
+    noise = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    core = noise(93)
+    texts = [noise(60) + core + noise(60) for _ in range(300)]
+    texts += [texts[5][:170], texts[6][20:]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    got = {r.doc_id: [(x.start, x.end) for x in r.runs] for r in deduplicate(docs, many=10).collect()}
+    assert got == dict(enumerate(brute([t.encode() for t in texts])))
+
+
+def test_very_long_text(spark):
+    rng = random.Random(8)
+    t = "".join(rng.choice("abcdefgh ") for _ in range(2_000_000))
+    docs = spark.createDataFrame([(1, t), (2, t[1_000_000:1_500_000] + "!" + t[:300])], "doc_id long, text string")
+    got = {r.doc_id: [(x.start, x.end) for x in r.runs] for r in deduplicate(docs, segment=1 << 18).collect()}
+    assert got == {1: [], 2: [(0, 500_000), (500_001, 500_301)]}

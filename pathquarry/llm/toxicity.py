@@ -6,9 +6,10 @@ words keep a few words from drowning in a long text: a text's score is that of i
 Embeddings and softmax are trained together by Adagrad: first every window has its text's label, then each toxic text is
 represented by its highest windows only. A fifth of the texts is kept aside to calibrate the log-odds.
 
-Training uses at most 2 * per_class labelled texts and at most `most_windows` windows of each, spread evenly over the text.
-Null and empty texts have no words and get the score of an empty bag (the softmax's bias). Repeated rows score alike. Without
-labelled texts of both classes the score is the share of toxic ones, 0.5 if there are none. Other columns pass through.
+Training uses at most 2 * per_class labelled texts of at most `class_bytes` a class, each with all its windows (a bound on rows, not
+on texts). Null and empty texts have no words and get the score of an empty bag (the softmax's bias). Repeated rows score alike;
+equal labelled texts count each. Texts of any length are scored whole. Without labelled texts of both classes the score is the share
+of toxic ones, 0.5 if there are none. An empty table gives no rows. Other columns pass through; `score` is replaced.
 """
 
 from __future__ import annotations
@@ -112,20 +113,43 @@ def windows(first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return row, first[:-1][row] + a, first[:-1][row] + b
 
 
+def _groups(texts: list[bytes], most: int = 1 << 20) -> Iterator[list[bytes]]:
+    """Neighbouring texts of about `most` bytes together: bounds the scratch arrays."""
+    group, size = [], 0
+    for t in texts:
+        group.append(t)
+        size += len(t)
+        if size >= most:
+            yield group
+            group, size = [], 0
+    if group:
+        yield group
+
+
 class _Bags:
     """Windows as bags of distinct words, words as bags of buckets."""
 
     def __init__(self, texts: list[bytes]):
-        data = LOWER[np.frombuffer(b" ".join(texts), np.uint8)]
-        offsets = np.cumsum([0, *(len(t) + 1 for t in texts)])
-        offsets[-1] -= 1
-        starts, ends, hashes, self.first = _tokens(data, offsets)
-        _, pick, self.token = np.unique(hashes, return_index=True, return_inverse=True)
-        pairs = list(_grams(data, starts[pick], ends[pick]))
-        bucket, word = (np.concatenate(x) for x in zip(*pairs, strict=True))
+        words, grams, of, firsts, known = [], [], [], [np.zeros(1, np.int64)], np.zeros(0, np.uint64)
+        for group in _groups(texts):
+            data = LOWER[np.frombuffer(b" ".join(group), np.uint8)]
+            offsets = np.cumsum([0, *(len(t) + 1 for t in group)])
+            offsets[-1] -= 1
+            starts, ends, hashes, first = _tokens(data, offsets)
+            own, pick = np.unique(hashes, return_index=True)
+            new = ~np.isin(own, known)
+            for bucket, word in _grams(data, starts[pick[new]], ends[pick[new]]):
+                grams.append(bucket.astype(np.int32))
+                of.append(own[new][word])
+            words.append(hashes)
+            firsts.append(firsts[-1][-1] + first[1:])
+            known = np.union1d(known, own)
+        self.first = np.concatenate([firsts[0], *firsts[1:]])
+        self.token = np.searchsorted(known, np.concatenate([np.zeros(0, np.uint64), *words]))
+        word = np.searchsorted(known, np.concatenate([np.zeros(0, np.uint64), *of]))
         order = np.argsort(word, kind="stable")
-        self.bucket = bucket[order].astype(np.int32)
-        self.at = np.searchsorted(word[order], np.arange(len(pick) + 1))
+        self.bucket = np.concatenate([np.zeros(0, np.int32), *grams])[order]
+        self.at = np.searchsorted(word[order], np.arange(len(known) + 1))
         # Buckets met in few texts would only be learned by heart.
         met = np.zeros(BUCKETS, np.int64)
         for i, j in zip(self.first[:-1], self.first[1:], strict=True):
@@ -186,23 +210,9 @@ class Trainer:
         return np.concatenate([self.forward(a[i : i + 2048], b[i : i + 2048])[1] for i in range(0, len(a), 2048)])
 
 
-def spread(text: bytes, most: int) -> bytes:
-    """At most `most` windows of words of a text, evenly spread from its first to its last."""
-    words = text.split()
-    if len(words) <= most * WINDOW:
-        return text
-    starts = np.linspace(0, len(words) - WINDOW, most).astype(int)
-    return b" ".join(b" ".join(words[s : s + WINDOW]) for s in starts)
-
-
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = 1500, most_windows: int = 20, seed: int = 0, threshold: float = 0.3) -> Model:
-    def shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = [spread((t or "").encode(), most_windows) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.binary()), b.column("y")], ["text", "y"])
-
-    rows = labelled_sample(docs, labels, label, per_class).mapInArrow(shorten, "text binary, y int").collect()
-    return fit(sorted((bytes(r.text), r.y) for r in rows), seed, threshold)
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = 1500, class_bytes: int = 8 << 20, seed: int = 0, threshold: float = 0.3) -> Model:
+    rows = labelled_sample(docs, labels, label, per_class, class_bytes).collect()
+    return fit(sorted(((r.text or "").encode(), r.y) for r in rows), seed, threshold)
 
 
 def fit(rows: list[tuple[bytes, int]], seed: int = 0, threshold: float = 0.3) -> Model:

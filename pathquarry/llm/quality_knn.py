@@ -7,7 +7,9 @@ compared with all labelled vectors by exact cosines, in blocks, and the labels o
 
 The sample holds at most 2 * per_class labelled texts, so its vectors are bounded (3,000 x 48 floats by default) and broadcast.
 Texts without words (null, empty, blank) score 0. Repeated rows score alike. Without labels every score is 0.5; without a
-positive similarity it is the sample's mean label. Texts are used whole. Other columns pass through; `score` is replaced.
+positive similarity it is the sample's mean label. Of sample vectors tied for the last place among the nearest (equal cosines) all
+vote, sharing the places that are left. Texts of any length are used whole. An empty table gives no rows. Other columns pass through;
+`score` is replaced.
 """
 
 from __future__ import annotations
@@ -86,12 +88,15 @@ class Model:
         k = min(NEIGHBOURS, n)
         for i in range(0, len(features), block):
             part = features[i : i + block]
-            cosine = self.project(part) @ self.vectors.T
-            near = np.argpartition(cosine, n - k, axis=1)[:, n - k :] if k < n else np.tile(np.arange(n), (len(cosine), 1))
-            weight = np.maximum(np.take_along_axis(cosine, near, axis=1), 0) ** 4
+            cosine = np.round(self.project(part) @ self.vectors.T, 5)  # equal vectors have equal cosines, whatever the rounding
+            last = np.partition(cosine, n - k, axis=1)[:, n - k, None]
+            above, tied = cosine > last, cosine == last
+            share = above + tied * ((k - above.sum(axis=1)) / tied.sum(axis=1)).astype(np.float32)[:, None]
+            square = np.maximum(cosine, 0) ** 2
+            weight = share * square * square
             total = weight.sum(axis=1)
             some = total > 0
-            out[i : i + block][some] = (weight * self.labels[near]).sum(axis=1)[some] / total[some]
+            out[i : i + block][some] = (weight @ self.labels)[some] / total[some]
         return np.clip(out, 0.0, 1.0)
 
 

@@ -8,7 +8,8 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from pathquarry.llm import mixing, quality_knn, quality_rules, toxicity
+from pathquarry.llm import common, mixing, quality_knn, quality_rules, toxicity
+from tests.llm import naive
 
 STOP = "the of and to in is that for it was on are as with".split()
 
@@ -72,6 +73,62 @@ def test_quality_classifier(labelled):
     assert {r.score for r in empty.where("doc_id < 3").collect()} == {0.5}
 
 
+def test_votes_against_brute_force(labelled):
+    """Scores of a fitted model, one text at a time: naive features, cosines with every vector, and a sorted vote with ties."""
+    docs, labels, rows = labelled
+    docs = docs.where("doc_id % 7 = 1 or doc_id >= 1000").union(docs.sparkSession.createDataFrame([(1003, "Été, ß! 12 12 12 x\x0by", 0.0), (1003, "one", 0.0)], docs.schema))
+    model = quality_knn.train(labelled[0].drop("score"), labels)
+    model.vectors[3] = model.vectors[10] = model.vectors[200]  # ties
+    for r in quality_knn.score(docs, model, keep_text=True).collect():
+        assert abs(r.score - naive.vote(model, r.text)) < 2e-3, r.doc_id
+
+
+def test_toxic_scores_against_brute_force(labelled):
+    docs, labels, rows = labelled
+    model = toxicity.train(docs.drop("score"), labels)
+    text = {r.doc_id: r.text for r in docs.collect()}
+    for r in toxicity.score(docs, model).where("doc_id % 7 = 1 or doc_id >= 1000").collect():
+        assert abs(r.score - naive.toxic(model, text[r.doc_id])) < 1e-4, r.doc_id
+
+
+def test_toxicity_learns_from_whole_texts(spark):
+    """Toxic words at one place of texts of 3,000 words, which a few windows of each would miss."""
+    rng = random.Random(4)
+    rows = []
+    for i in range(160):
+        words = prose(rng, 3000).split()
+        if i % 2:
+            k = rng.randrange(len(words) - 8)
+            words[k : k + 8] = [rng.choice(["grumpblat", "snorfelix", "dwazzle"]) for _ in range(8)]
+        rows.append((i, " ".join(words), i % 2))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    got = {r.doc_id: r.score for r in toxicity.score(docs, toxicity.train(docs, labels)).collect()}
+    test = [i for i, _, _ in rows if held_out(i)]
+    assert sum((got[i] >= 0.3) == bool(rows[i][2]) for i in test) >= 0.9 * len(test)
+
+
+def test_classifiers_with_clashing_names_repeated_rows_and_empty_tables(spark, labelled):
+    docs, labels, rows = labelled
+    more = docs.withColumns({"y": F.lit(1), "__k": F.lit("k"), "label": F.lit(0)})
+    twice = labels.union(labels).withColumn("text", F.lit("t")).withColumn("y", F.lit(2))
+    for part in (quality_knn, toxicity):
+        model = part.train(more, twice)
+        out = part.score(more.union(more.limit(3)), model)
+        assert set(out.columns) == {"doc_id", "y", "__k", "label", "score"} and out.count() == len(rows) + 3
+        assert all(len({r.score for r in same}) == 1 for same in ([x for x in out.collect() if x.doc_id == i] for i in range(3)))
+        assert part.score(more.limit(0), model).count() == 0
+        assert part.score(more.limit(2), part.train(more.limit(0), labels.limit(0))).first().score == 0.5
+
+
+def test_sample_is_bounded_by_rows_and_bytes(spark):
+    docs = spark.createDataFrame([(i, "x" * 1000) for i in range(400)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(400)], "doc_id long, quality int")
+    size = lambda **how: Counter(r.y for r in common.labelled_sample(docs, labels, "quality", **how).collect())
+    assert size(per_class=20) == {0: 20, 1: 20} and size(per_class=100, class_bytes=4500) == {0: 5, 1: 5}
+    assert size(per_class=20, class_bytes=1) == {0: 1, 1: 1}
+
+
 def test_toxicity(labelled):
     docs, labels, rows = labelled
     model = toxicity.train(docs.drop("score"), labels)
@@ -106,31 +163,85 @@ def test_mixing(spark):
     assert [r.target for r in mixing.mix(docs.withColumn("text", F.lit(None).cast("string"))).limit(2).collect()] == [0.0, 0.0]
 
 
+def test_mixing_of_rows_without_ids_and_long_texts(spark):
+    rows = [(None, "a", f"text number {i}") for i in range(300)] + [(1, "b", "w " * 200_000), (2, "b", "w w")]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string").withColumn("copies", F.lit("x"))
+    out = mixing.mix(docs)
+    assert out.where("doc_id = 1").first()["size"] == 200_000 and out.count() == 302
+    times = Counter(r.text for r in mixing.repeat(docs).collect())
+    assert len(set(times.values())) >= 1 and all(n in (1, 2) for n in times.values())
+    assert mixing.repeat(docs).columns == docs.columns and mixing.repeat(docs.limit(0)).count() == 0
+
+
 def test_pipeline_against_brute_force(spark, tmp_path, labelled):
-    """Each stage on its own input: what the model rejects, copies, leaks, repetitions, and ids of the library."""
+    """Every stage once more in plain Python, from the fitted classifier on: votes, shingles, templates, shares, and the library's ids."""
     import corpus_pipeline
     from pathquarry.llm.token_output import Encoder
 
-    docs, labels, rows = labelled
+    base, labels, rows = labelled
     rng = random.Random(11)
-    item = prose(rng, 40)
-    extra = [(2000, prose(rng, 80) + " " + item, 0.5), (2001, rows[1][1], 0.5)]
-    docs = docs.drop("score").union(spark.createDataFrame(extra, "doc_id long, text string, s double").drop("s"))
-    docs = docs.withColumn("source", F.lit("one"))
+    item = "If a train leaves Paris with 120 passengers and drives 300 km to Lyon, then Paris lies how far from Lyon when the train returns?"
+    long = prose(rng, 20_000)
+    good = [prose(rng, rng.randrange(60, 200)) for _ in range(40)]
+    extra = [(2000 + k, t) for k, t in enumerate(good)]
+    for k, t in enumerate(good[:12]):  # near copies: one word in sixty or so, and exact ones
+        words = t.split()
+        words[len(words) // 2] = "changed"
+        extra += [(2100 + k, " ".join(words)), (2200 + k, t)]
+    changed = item.replace("Paris", "Berlin").replace("Lyon", "Hamburg").replace("120", "77")
+    extra += [(2300 + k, prose(rng, 80) + " " + t) for k, t in enumerate((item, changed, item[:40]))]
+    extra += [(2400, long), (2401, long), (2400, good[30] + " end"), (2500, None), (2501, ""), (2502, " \n")]
+    docs = base.select("doc_id", "text").where("doc_id < 120").union(spark.createDataFrame(extra, "doc_id long, text string"))
+    docs = docs.withColumns({"source": F.concat(F.lit("s"), F.col("doc_id") % 2), "score": F.lit("x"), "fp": F.lit(1), "leaks": F.lit(2), "y": F.lit(3)})
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     labels.write.parquet(str(tmp_path / "labels.parquet"))
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
-    text = {r.doc_id: r.text for r in docs.collect()}
-    score = {r.doc_id: r.score for r in quality_knn.score(docs, quality_knn.train(docs, labels)).collect()}
-    kept = {i for i in text if score[i] >= 0.7}
-    if 1 in kept:
-        assert 2001 in kept
-        kept.discard(2001)
-    kept.discard(2000)
+    all_rows = [(r.doc_id, r.text, r.source) for r in docs.collect()]
+    model = quality_knn.train(docs, labels)
+    votes = {t: naive.vote(model, t) for t in {t for _, t, _ in all_rows}}
+    assert all(abs(v - 0.7) > 0.002 for v in votes.values())
+    kept = [r for r in all_rows if votes[r[1]] >= 0.7]
+    sets = [naive.shingles(t) for _, t, _ in kept]
+    pairs = [(i, j) for i in range(len(kept)) for j in range(i) if naive.similar(sets[i], sets[j])]
+    group = naive.components(pairs, range(len(kept)))
+    least = {}
+    for k, g in group.items():
+        least[g] = min(least.get(g, kept[k][0]), kept[k][0])
+    kept = [r for k, r in enumerate(kept) if r[0] == least[group[k]]]
+    assert len(pairs) >= 20
+    kept = [r for r in kept if not naive.leaks(r[1], item)]
+    assert {2300, 2301}.isdisjoint({r[0] for r in kept}) and 2302 in {r[0] for r in kept}
     got = [(r.doc_id, r.n_tokens) for r in corpus_pipeline.run(spark, str(tmp_path)).orderBy("start").collect()]
-    times = Counter(i for i, _ in got)
-    assert set(times) <= kept and [i for i, _ in got] == sorted(i for i, _ in got)
-    words = {i: len(text[i].split()) for i in kept}
-    assert len(kept) - len(times) <= 1 and set(times.values()) <= {1, 2} and abs(sum(words[i] * n for i, n in times.items()) - 1.5 * sum(words.values())) <= max(words.values())
+    assert [i for i, _ in got] == sorted(i for i, _ in got)
     encoder = Encoder(corpus_pipeline.VOCABULARY)
-    assert all(n == len(encoder.library.encode(text[i], add_special_tokens=False).ids) + 1 for i, n in got)
+    tokens = {(i, len(encoder.library.encode(t, add_special_tokens=False).ids) + 1): len(t.split()) for i, t, _ in kept}
+    times = Counter(got)
+    assert set(times) <= set(tokens)
+    # Two sources of weights 5 and 2 share 150 % of all words, neither beyond twice its own.
+    size = Counter()
+    for i, t, s in kept:
+        size[s] += len(t.split())
+    total, order = 1.5 * sum(size.values()), sorted(size)
+    share = {s: total * w / 7 for s, w in zip(order, (5, 2))}
+    for a, b in (order, order[::-1]):
+        if share[a] > 2 * size[a]:
+            share = {a: 2 * size[a], b: min(2 * size[b], total - 2 * size[a])}
+    taken = Counter()
+    source = {i: s for i, _, s in kept}
+    for (i, n), k in times.items():
+        taken[source[i]] += k * tokens[i, n]
+    for s in order:
+        longest = max(len(t.split()) for _, t, x in kept if x == s)
+        assert abs(taken[s] - share[s]) <= longest
+        whole = int(share[s] // size[s])
+        assert all(times[k] in (whole, whole + 1) for k in tokens if source[k[0]] == s)
+
+
+def test_pipeline_on_empty_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([], "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.columns == ["doc_id", "start", "n_tokens", "ids_crc32"] and out.count() == 0

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Mapping
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,20 +14,42 @@ from .operators import aggregate as A
 from .operators import changes as C
 from .operators import search as S
 from .operators.catalog import Store
+from .operators.content import DISK_BUDGET, MEMORY_BUDGET
 from .plans.language import Options
 from .schema import CHANGE, CONTENT, VERSION
 
 
 @dataclass(frozen=True)
 class Settings:
-    """Where the catalog lives and how much content it keeps; from_env reads PATHQUARRY_ROOT and PATHQUARRY_CONTENT_BUDGET."""
+    """Where the catalog lives and what content it keeps: mode `disk`, `memory` (the last text is cut to fit) or `off`."""
 
     root: str | None = None
-    content_budget: int = 2 * 1024**3
+    content_mode: str = "disk"
+    content_budget: int = DISK_BUDGET
 
     @classmethod
-    def from_env(cls) -> Settings:
-        return cls(os.environ.get("PATHQUARRY_ROOT"), int(os.environ.get("PATHQUARRY_CONTENT_BUDGET", 2 * 1024**3)))
+    def from_env(cls, env: Mapping[str, str] = os.environ) -> Settings:
+        """From PATHQUARRY_ROOT, PATHQUARRY_CONTENT and PATHQUARRY_CONTENT_BUDGET; a budget that is no number is the mode's own."""
+        mode = env.get("PATHQUARRY_CONTENT", "disk").strip().lower()
+        if mode not in ("disk", "memory", "off"):
+            raise ValueError(f"PATHQUARRY_CONTENT is {mode!r}, not disk, memory or off")
+        budget = env.get("PATHQUARRY_CONTENT_BUDGET", "").strip()
+        return cls(env.get("PATHQUARRY_ROOT"), mode, int(budget) if budget.isdigit() else MEMORY_BUDGET if mode == "memory" else DISK_BUDGET)
+
+    def store(self, spark: SparkSession) -> Store:
+        if self.root is None:
+            raise ValueError("no root: set PATHQUARRY_ROOT")
+        return Store(spark, self.root)
+
+    def insert_content(self, store: Store, rows: DataFrame) -> None:
+        """Content rows as the mode has it."""
+        if self.content_mode != "off":
+            store.insert_content(rows, self.content_budget, self.content_mode == "memory")
+
+
+def _not_path(options: dict) -> None:
+    if "match_path" in options:
+        raise TypeError("match_path is an option of find only")
 
 
 class Catalog:
@@ -61,9 +84,11 @@ class Catalog:
         return S.exclusion_note(Options(**options))
 
     def count(self, query: str = "", **options) -> int:
+        _not_path(options)
         return S.count(self.files, Options(query=query, **options), self.contents).first()[0]
 
     def aggregate(self, query: str = "", top: int = 20, **options) -> DataFrame:
+        _not_path(options)
         return A.aggregate(self.files, Options(query=query, **options), top, self.contents)
 
     def recent_changes(self, since: int = 0, limit: int = 100, reasons: str | None = None, hours: float | None = None, now: int | None = None) -> DataFrame:

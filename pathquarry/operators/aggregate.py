@@ -35,16 +35,21 @@ def largest(found: DataFrame, top: int = 20) -> DataFrame:
 
 
 def aggregate(files: DataFrame, options: Options, top: int = 20, contents: DataFrame | None = None) -> DataFrame:
-    """One row: totals, the largest rows, and the table by extension, from one filtered frame."""
+    """One row: totals, the largest rows, and the table by extension, in two scans: a top-k, and groups that the totals follow from."""
     found = apply(files, options, contents).select("path", "size", "is_dir", "extension")
-    tops = largest(found, top).agg(F.collect_list(F.struct("path", "size", "is_dir")).alias("x"))
     order = lambda a, b: F.when(a["size"] > b["size"], -1).when(a["size"] < b["size"], 1).when(a["path"] < b["path"], -1).otherwise(1)
-    tops = tops.select(F.array_sort("x", order).alias("largest"))
-    groups = by_extension(found).agg(F.collect_list(F.struct("extension", "count", "size")).alias("y"))
+    tops = largest(found, top).agg(F.array_sort(F.collect_list(F.struct("path", "size", "is_dir")), order).alias("largest"))
+    groups = found.groupBy("is_dir", F.when(~F.col("is_dir"), F.coalesce("extension", F.lit(""))).alias("extension"))
+    groups = groups.agg(F.count("*").alias("count"), F.sum(F.col("size").cast("decimal(38,0)")).alias("sum"))
+    most = lambda c: F.least(c, F.lit(Decimal(LARGEST))).cast("long")
+    count = lambda c: F.coalesce(F.sum(F.when(c, F.col("count"))), F.lit(0)).cast("long")
     by = lambda a, b: F.when(a["count"] > b["count"], -1).when(a["count"] < b["count"], 1).when(a["extension"] < b["extension"], -1).otherwise(1)
-    groups = groups.select(F.array_sort("y", by).alias("by_extension"))
-    # Each side is one row, so these joins move three rows.
-    return totals(found).join(tops, F.lit(True)).join(groups, F.lit(True))
+    own = F.when(~F.col("is_dir"), F.struct("extension", "count", most(F.coalesce("sum", F.lit(Decimal(0)))).alias("size")))
+    row = groups.agg(
+        count(F.lit(True)).alias("total"), count(~F.col("is_dir")).alias("files"), count(F.col("is_dir")).alias("folders"),
+        most(F.coalesce(F.sum("sum"), F.lit(Decimal(0)))).alias("total_size"), F.array_sort(F.collect_list(own), by).alias("by_extension"),
+    )
+    return row.join(tops, F.lit(True)).select("total", "files", "folders", "total_size", "largest", "by_extension")  # one row each
 
 
 def direct_children(files: DataFrame, volume_root: str = "/") -> DataFrame:

@@ -1,35 +1,43 @@
-"""Versioned catalog snapshots: immutable Parquet directories, and a manifest that names the current one.
+"""Versioned catalog snapshots: immutable Parquet directories, and a manifest that names the current ones.
 
-A new version is written beside the old one and becomes current when a manifest with a higher number appears, so readers never
-see half of it. Paths may be in any store that Hadoop's file system interface reaches.
+Files are stored by volume, so a change rewrites the volumes it touches and no other. A new version is written beside the old one and
+becomes current when a manifest with a higher number appears, so readers never see half of it, and a batch that changes several tables
+is there as a whole or not at all. Paths may be in any store that Hadoop's file system interface reaches.
 """
 
 from __future__ import annotations
 
 import json
+import time
+from collections.abc import Sequence
 from dataclasses import asdict, dataclass, field
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.derive import derive
-from ..schema import CATALOG, CHECKPOINT, CONTENT, VERSION
+from ..schema import CATALOG, CHECKPOINT, CONTENT, ENTRY, PENDING, VERSION
+from ..shared import cut
 from .content import DISK_BUDGET, within_budget
-from .tree import folder_sizes
+from .tree import folder_sizes, last_writer, resized
 
 
 @dataclass
 class Manifest:
+    """tables: table -> part (a volume of files, else "") -> directory."""
+
     number: int = 0
     schema_version: int = VERSION
-    tables: dict[str, str] = field(default_factory=dict)
+    tables: dict[str, dict[str, str]] = field(default_factory=dict)
     batches: dict[str, int] = field(default_factory=dict)
 
 
 class Store:
-    """Tables files, contents and checkpoints under one root."""
+    """Tables files, contents, checkpoints and pending (old names that wait for new ones) under one root."""
 
-    SCHEMAS = {"files": CATALOG, "contents": CONTENT, "checkpoints": CHECKPOINT}
+    SCHEMAS = {"files": CATALOG, "contents": CONTENT, "checkpoints": CHECKPOINT, "pending": PENDING}
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -69,46 +77,88 @@ class Store:
 
     # tables
 
-    def read(self, table: str = "files") -> DataFrame:
-        path = self.manifest().tables.get(table)
-        return self.spark.read.schema(self.SCHEMAS[table]).parquet(path) if path else self.spark.createDataFrame([], self.SCHEMAS[table])
+    def volumes(self) -> list[str]:
+        return sorted(self.manifest().tables.get("files", {}))
 
-    def write(self, table: str, df: DataFrame, batch: tuple[str, int] | None = None) -> None:
-        """Replaces a table. Files are sorted by key inside their volume, so readers skip row groups by path."""
+    def read(self, table: str = "files", parts: Sequence[str] | None = None) -> DataFrame:
+        """A table, or only some volumes of files."""
+        have = self.manifest().tables.get(table, {})
+        paths = [p for k, p in sorted(have.items()) if parts is None or k in parts]
+        return self.spark.read.schema(self.SCHEMAS[table]).parquet(*paths) if paths else self.spark.createDataFrame([], self.SCHEMAS[table])
+
+    def publish(self, tables: dict[str, DataFrame], batch: tuple[str, int] | None = None, volumes: Sequence[str] | None = None) -> bool:
+        """Replaces tables, all at once; of files only these volumes (None: all). False if this batch is already in.
+
+        Files are sorted by path inside their volume, so readers skip row groups.
+        """
         m = self.manifest()
         if batch and m.batches.get(batch[0], -1) >= batch[1]:
-            return  # this micro-batch is already in
-        path = f"{self.root}/{table}/{m.number + 1:012d}"
-        df = df.select(*self.SCHEMAS[table].names)
-        if table == "files":
-            df = df.repartitionByRange("volume", "lower_path").sortWithinPartitions("volume", "lower_path")
-        df.write.mode("overwrite").parquet(path)
-        m.tables[table] = path
+            return False
+        for table, df in tables.items():
+            path = f"{self.root}/{table}/{m.number + 1:012d}"
+            df = df.select(*self.SCHEMAS[table].names)
+            if table != "files":
+                df.write.mode("overwrite").parquet(path)
+                m.tables[table] = {"": path}
+                continue
+            volume = F.coalesce("volume", F.lit(""))
+            rows = df.withColumn("part", F.xxhash64(volume)).repartitionByRange("part", "lower_path").sortWithinPartitions("part", "lower_path")
+            rows.write.mode("overwrite").partitionBy("part").parquet(path)
+            left = {k: p for k, p in m.tables.get("files", {}).items() if volumes is not None and k not in volumes}
+            if self._fs.exists(self._path(path)) and any("part=" in s.getPath().getName() for s in self._fs.listStatus(self._path(path))):
+                written = self.spark.read.schema(CATALOG).parquet(path).select(volume.alias("v")).distinct().select("v", F.xxhash64("v").alias("h"))
+                left |= {r["v"]: f"{path}/part={r['h']}" for r in written.collect()}  # a row for each volume
+            m.tables["files"] = left
         if batch:
             m.batches[batch[0]] = batch[1]
         self._publish(m)
+        return True
+
+    def write(self, table: str, df: DataFrame, batch: tuple[str, int] | None = None) -> None:
+        """Replaces a whole table."""
+        self.publish({table: df}, batch)
 
     def replace(self, entries: DataFrame, recompute_sizes: bool = True) -> None:
         """The whole catalog; of rows with one path the one with the latest modification stays."""
-        one = entries.dropDuplicates(["path"])
+        one = last_writer(entries.select(*ENTRY.names), "path", "modified")
         self.write("files", derive(folder_sizes(one) if recompute_sizes else one))
 
     def replace_volume(self, volume: str, entries: DataFrame) -> None:
-        rest = self.read().where(F.col("volume") != volume)
-        self.write("files", rest.unionByName(derive(folder_sizes(entries.dropDuplicates(["path"])))))
+        """One volume; the others' files aren't touched."""
+        one = last_writer(entries.select(*ENTRY.names), "path", "modified").where(F.col("volume") == volume)
+        self.publish({"files": derive(folder_sizes(one))}, volumes=[volume])
 
     def upsert(self, entries: DataFrame, batch: tuple[str, int] | None = None) -> None:
-        """Rows put in by path; directory sizes are made anew."""
-        base = [f.name for f in CATALOG.fields[:9]]
-        files = self.read().select(*base)
-        both = files.join(entries.select("path"), "path", "left_anti").unionByName(entries.select(*base))
-        self.write("files", derive(folder_sizes(both)), batch)
-
-    def insert_content(self, rows: DataFrame, budget: int = DISK_BUDGET) -> None:
-        """Content rows put in by key, in path order while the budget lasts."""
-        old = self.read("contents").join(rows.select("path_key"), "path_key", "left_anti")
-        both = old.unionByName(rows.select(*CONTENT.names)).withColumnRenamed("path_key", "path")
-        self.write("contents", within_budget(both, budget, "byte_count").withColumnRenamed("path", "path_key"))
+        """Rows put in by path, in their volumes; the sizes of directories above them follow."""
+        new = cut(last_writer(entries.select(*ENTRY.names), "path", "modified"), "upsert")
+        volumes = [r[0] or "" for r in new.select("volume").distinct().collect()]
+        files = self.read("files", volumes).select(*ENTRY.names)
+        gone = cut(files.join(new.select("path"), "path", "left_semi").withColumn("stays", F.lit(True)), "upsert")
+        kept = files.join(new.select("path"), "path", "left_anti")
+        self.publish({"files": derive(resized(kept, gone, new))}, batch, volumes)
+
+    def with_content(self, rows: DataFrame, budget: int = DISK_BUDGET, memory: bool = False, drop: DataFrame | None = None) -> DataFrame:
+        """The content table with rows put in by key. Stored rows stay: a new one is refused if it doesn't fit (memory: the last is cut).
+
+        Rows that take no more than the ones they replace come first, the others in path order. drop: (path_key) of rows to leave out.
+        """
+        old = self.read("contents")
+        old = old if drop is None else old.join(drop.select("path_key"), "path_key", "left_anti")
+        rows = rows.select(*CONTENT.names).where(F.col("byte_count") > 0).dropDuplicates(["path_key"])
+        both = rows.join(old.select("path_key", F.col("byte_count").alias("__o")), "path_key", "left")
+        both = cut(both.withColumn("__more", F.col("byte_count") - F.coalesce("__o", F.lit(0))), "contents")
+        less = both.where("__more <= 0")
+        used = old.agg(F.coalesce(F.sum("byte_count"), F.lit(0))).first()[0] + less.agg(F.coalesce(F.sum("__more"), F.lit(0))).first()[0]
+        more = within_budget(both.where("__more > 0"), budget - used, "__more", "path_key", memory)
+        more = more.withColumn("byte_count", F.col("__more") + F.coalesce("__o", F.lit(0)))
+        whole = F.octet_length("body") <= F.col("byte_count")
+        cut_body = F.make_valid_utf8(F.substring(F.encode("body", "UTF-8"), F.lit(1), F.col("byte_count").cast("int")).cast("string"))
+        more = more.withColumn("body", F.when(whole, F.col("body")).otherwise(cut_body))
+        new = cut(less.select(*CONTENT.names).unionByName(more.select(*CONTENT.names)), "contents")
+        return old.join(new.select("path_key"), "path_key", "left_anti").unionByName(new)
+
+    def insert_content(self, rows: DataFrame, budget: int = DISK_BUDGET, memory: bool = False) -> None:
+        self.write("contents", self.with_content(rows, budget, memory))
 
     def clear_content(self) -> None:
         self.write("contents", self.spark.createDataFrame([], CONTENT))
@@ -120,27 +170,42 @@ class Store:
         self.write("checkpoints", rows)
 
     def can_resume(self, live: DataFrame) -> bool:
-        """True if each live journal is the saved one and its cursor is not behind the saved cursor."""
+        """True if the live journals are those of the saved checkpoints, one for one, and no cursor is behind its saved one."""
         saved = self.read("checkpoints").select("volume", F.col("journal_id").alias("j"), F.col("cursor").alias("c"))
-        both = live.join(saved, "volume", "left")
+        both = live.join(saved, "volume", "full")
         ok = (F.col("journal_id") == F.col("j")) & (F.col("cursor") >= F.col("c"))
         return not live.isEmpty() and both.where(~F.coalesce(ok, F.lit(False))).isEmpty()
 
     def compact(self, keep: int = 2) -> int:
         """Deletes table versions that no recent manifest names; returns how many."""
-        numbers = self._numbers()
         live = set()
-        for n in numbers[-keep:]:
+        for n in self._numbers()[-keep:]:
             text = "".join(r[0] for r in self.spark.read.text(f"{self.root}/manifest/{n:012d}.json").collect())
-            live |= {p.rsplit("/", 1)[1] + "/" + t for t, p in json.loads(text)["tables"].items()}
+            live |= {(t, p.removeprefix(f"{self.root}/{t}/").split("/")[0]) for t, parts in json.loads(text)["tables"].items() for p in parts.values()}
         gone = 0
         for table in self.SCHEMAS:
             folder = self._path(f"{self.root}/{table}")
             for s in self._fs.listStatus(folder) if self._fs.exists(folder) else []:
-                if f"{s.getPath().getName()}/{table}" not in live:
+                if (table, s.getPath().getName()) not in live:
                     gone += self._fs.delete(s.getPath(), True)
         return gone
 
+    def quarantine(self) -> list[tuple[str, str]]:
+        """Reads everything; parts that can't be read are put aside and leave the manifest. Returns them, to be scanned again."""
+        m, bad = self.manifest(), []
+        for table, parts in m.tables.items():
+            for part, path in list(parts.items()):
+                try:
+                    self.spark.read.schema(self.SCHEMAS[table]).parquet(path).write.format("noop").mode("overwrite").save()
+                except (Py4JJavaError, PySparkException):
+                    if self._fs.exists(self._path(path)):
+                        self._fs.rename(self._path(path), self._path(f"{self.root}/damaged-{table}-{int(time.time() * 1000)}-{len(bad)}"))
+                    del parts[part]
+                    bad.append((table, part))
+        if bad:
+            self._publish(m)
+        return bad
+
     def validate(self) -> DataFrame:
         """One row: what is wrong with the current catalog, as counts."""
         files = self.read()

@@ -10,18 +10,25 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.derive import ascii_lower, content_extension, fold, is_excluded
+from ..shared import cut
 
 MOST_BYTES = 256 * 1024
 MEMORY_BUDGET = 256 * 1024 * 1024
 DISK_BUDGET = 2 * 1024 * 1024 * 1024
 PAGE = 512
 # Extensions and names of text files.
-TEXT_EXTENSIONS = """
-md markdown txt rst log json jsonl yaml yml toml ini cfg conf config env properties xml html htm css csv tsv sql rs py pyw js jsx ts tsx mjs cjs
-c h cpp cc cxx hpp hh hxx cs java kt kts go rb php sh bat cmd ps1 swift m mm r scala clj cljs lua pl pm tcl v vhdl asm s gradle groovy dockerfile
-makefile cmake gitignore gitattributes editorconfig eslintrc prettierrc babelrc tsconfig package lock
-""".split()
-TEXT_NAMES = "readme makefile dockerfile license copying notice changelog authors contributing gemfile rakefile requirements rust-toolchain cargo-config".split()
+TEXT_EXTENSIONS = (
+    "md", "markdown", "txt", "rst", "log", "json", "jsonl", "yaml", "yml", "toml", "ini", "cfg", "conf", "config",
+    "env", "properties", "xml", "html", "htm", "css", "csv", "tsv", "sql", "rs", "py", "pyw", "js", "jsx", "ts",
+    "tsx", "mjs", "cjs", "c", "h", "cpp", "cc", "cxx", "hpp", "hh", "hxx", "cs", "java", "kt", "kts", "go", "rb",
+    "php", "sh", "bat", "cmd", "ps1", "swift", "m", "mm", "r", "scala", "clj", "cljs", "lua", "pl", "pm", "tcl", "v",
+    "vhdl", "asm", "s", "gradle", "groovy", "dockerfile", "makefile", "cmake", "gitignore", "gitattributes",
+    "editorconfig", "eslintrc", "prettierrc", "babelrc", "tsconfig", "package", "lock",
+)
+TEXT_NAMES = (
+    "readme", "makefile", "dockerfile", "license", "copying", "notice", "changelog", "authors", "contributing",
+    "gemfile", "rakefile", "requirements", "rust-toolchain", "cargo-config",
+)
 
 
 def holds(body: Column, needles: Sequence[str]) -> Column:
@@ -53,16 +60,44 @@ def eligible(path: Column, size: Column, is_dir: Column) -> Column:
     return ~is_dir & size.between(1, MOST_BYTES) & ~is_excluded(ascii_lower(path)) & text
 
 
-def within_budget(files: DataFrame, budget: int = DISK_BUDGET, size: str = "size") -> DataFrame:
-    """The files, in path order, up to where their sizes pass the budget: sums of ranges first, then one within the range that is cut."""
-    from ..shared import cut
-
-    parts = cut(files.repartitionByRange("path").withColumn("__p", F.spark_partition_id()))
-    per = parts.groupBy("__p").agg(F.sum(size).alias("__n"))
-    before = F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    per = per.select("__p", before.alias("__b"))
-    run = F.sum(size).over(Window.partitionBy("__p").orderBy("path").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return parts.withColumn("__r", run).join(F.broadcast(per), "__p").where(F.col("__b") + F.col("__r") <= budget).drop("__p", "__r", "__b")
+def within_budget(files: DataFrame, budget: int = DISK_BUDGET, size: str = "size", path: str = "path", memory: bool = False) -> DataFrame:
+    """The files that are taken when each, in path order, is taken if it still fits and refused otherwise (paths are unique).
+
+    memory: the first that doesn't fit is cut to what is left (its `size` says so), and all after it are refused.
+
+    What is left only shrinks, so a round leaves out all files larger than that and takes those up to the first that passes it, by
+    sums of path ranges and a running sum in one range. The next round starts behind that file. Rounds are few: what is left halves,
+    or files of half of it and more no longer fit.
+    """
+    room = max(0, int(budget))
+    parts = cut(files.withColumn("__b", F.coalesce(F.col(size), F.lit(0)).cast("long")).repartitionByRange(path).withColumn("__p", F.spark_partition_id()), "budget")
+    taken, partial, begin = F.lit(False), F.lit(False), F.lit(True)
+    while True:
+        fits = begin & ((F.col("__b") <= room) | F.lit(memory))
+        left, sums = parts.where(fits), {}
+        for r in left.groupBy("__p").agg(F.sum("__b").alias("n")).collect():  # one row a range
+            sums[r["__p"]] = r["n"]
+        before, full = 0, None
+        for p in sorted(sums):
+            if before + sums[p] > room:
+                full = p
+                break
+            before += sums[p]
+        if full is None:
+            taken = taken | fits
+            break
+        run = F.sum("__b").over(Window.partitionBy("__p").orderBy(path).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        first = left.where(F.col("__p") == full).withColumn("__r", run).where(F.col("__r") > room - before).orderBy(path).first()
+        taken = taken | (fits & (F.col(path) < first[path]))
+        room -= before + first["__r"] - first["__b"]
+        if memory:
+            partial = F.col(path) == first[path]
+            break
+        begin = F.col(path) > first[path]
+    if memory and room > 0:
+        parts = parts.withColumn(size, F.when(partial, F.lit(room).cast(files.schema[size].dataType)).otherwise(F.col(size)))
+        taken = taken | partial
+    return parts.where(taken).drop("__b", "__p")
 
 
 def stale(files: DataFrame, contents: DataFrame) -> DataFrame:
@@ -87,4 +122,4 @@ def read_bodies(spark, paths: Sequence[str]) -> DataFrame:
     path = F.regexp_replace("path", r"^file:/*", "/")
     body = F.expr(f"substring(content, 1, {MOST_BYTES})")
     modified = (F.unix_micros("modificationTime") * 10 + 116_444_736_000_000_000).alias("source_modified")
-    return raw.select(ascii_lower(path).alias("path_key"), F.decode(body, "UTF-8").alias("body"), F.least("length", F.lit(MOST_BYTES)).alias("byte_count"), F.lit(0).cast("long").alias("indexed_at"), modified)
+    return raw.select(ascii_lower(path).alias("path_key"), F.make_valid_utf8(body.cast("string")).alias("body"), F.least("length", F.lit(MOST_BYTES)).alias("byte_count"), F.lit(0).cast("long").alias("indexed_at"), modified)

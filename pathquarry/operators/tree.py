@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,50 +39,62 @@ def size_deltas(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 def apply_deltas(dirs: DataFrame, deltas: DataFrame) -> DataFrame:
-    """Directory sizes after signed changes, never below 0."""
+    """Directory sizes after signed changes, never below 0; files keep their size."""
     out = dirs.join(deltas, "path", "left")
-    return out.withColumn("size", F.greatest(F.lit(0), F.col("size") + F.coalesce("delta", F.lit(0)))).drop("delta")
+    return out.withColumn("size", F.when(F.col("is_dir"), F.greatest(F.lit(0), F.col("size") + F.coalesce("delta", F.lit(0)))).otherwise(F.col("size"))).drop("delta")
+
+
+def resized(kept: DataFrame, gone: DataFrame, added: DataFrame) -> DataFrame:
+    """kept and added with directory sizes that follow from the rows that went and came.
+
+    Kept directories have their size from before, and so do those only put in again: gone rows that merely make room for a row of their
+    path say so by `stays`. Directories that are new under their path have what came below them.
+    """
+    below = lambda files, sign: files.where(~F.col("is_dir")).select(F.explode(ancestors(F.col("path"))).alias("path"), (F.col("size") * sign).alias("delta"))
+    came = below(added, 1).withColumn("plus", F.col("delta"))
+    deltas = came.unionByName(below(gone, -1).withColumn("plus", F.lit(0).cast("long"))).groupBy("path").agg(F.sum("delta").alias("delta"), F.sum("plus").alias("plus"))
+    known = gone.where("is_dir and stays").select("path", F.col("size").alias("__s"))
+    added = added.join(known, "path", "left").withColumn("size", F.when(F.col("is_dir"), F.col("__s")).otherwise(F.col("size"))).drop("__s")
+    out = kept.unionByName(added.select(*kept.columns)).join(deltas, "path", "left")
+    size = F.greatest(F.lit(0), F.coalesce(F.col("size") + F.coalesce("delta", F.lit(0)), "plus", F.lit(0)))
+    return out.withColumn("size", F.when(F.col("is_dir"), size).otherwise(F.col("size"))).select(*kept.columns)
 
 
 def resolve_paths(records: DataFrame, volume_root: str, root_ref: int = 5, sep: str = "\\") -> DataFrame:
     """records(file_ref, parent_ref, own_name) with path, by pointer doubling: each round doubles the resolved chain.
 
-    Orphans and cycles get an empty path. Rounds are the logarithm of the deepest path.
+    Orphans and cycles get an empty path: a first doubling over the references alone, whose rounds are the logarithm of the number of
+    records at most, finds what comes to the root, and only these records' names are put together.
     """
-    chain = cut(records.select("file_ref", F.col("parent_ref").alias("up"), F.col("own_name").alias("path")))
-    for _ in range(40):
-        if chain.where(F.col("up") != root_ref).isEmpty():
+    up = cut(records.select("file_ref", F.col("parent_ref").alias("up")))
+    for _ in range(up.count().bit_length() + 1):
+        above = up.select(F.col("file_ref").alias("__r"), F.col("up").alias("__u"))
+        nxt = cut(up.join(above, (F.col("up") == F.col("__r")) & (F.col("up") != root_ref), "left").select("file_ref", F.coalesce("__u", "up").alias("up"), (F.col("__u") != F.col("up")).alias("went_on")))
+        up = nxt.select("file_ref", "up")
+        if nxt.where("went_on").isEmpty():
             break
+    rooted = up.where(F.col("up") == root_ref).select("file_ref")
+    chain = cut(records.select("file_ref", F.col("parent_ref").alias("up"), F.col("own_name").alias("path")).join(rooted, "file_ref", "left_semi"))
+    while not chain.where(F.col("up") != root_ref).isEmpty():
         above = chain.select(F.col("file_ref").alias("__r"), F.col("up").alias("__u"), F.col("path").alias("__p"))
         both = chain.join(above, (F.col("up") == F.col("__r")) & (F.col("up") != root_ref), "left")
-        nxt = both.select(
-            "file_ref",
-            F.when((F.col("up") == root_ref) | F.col("__r").isNull(), F.col("up")).otherwise(F.col("__u")).alias("up"),
-            F.when(F.col("__p").isNull(), F.col("path")).otherwise(F.concat("__p", F.lit(sep), "path")).alias("path"),
-        )
-        nxt = cut(nxt)
-        stuck = nxt.where(F.col("up") != root_ref)
-        done = stuck.join(chain.select("file_ref", F.col("up").alias("__u")), "file_ref").where(F.col("up") != F.col("__u")).isEmpty()
-        long = not nxt.where(F.length("path") > 40_000).isEmpty()  # only a cycle makes such paths
-        chain = nxt
-        if done or long:
-            break
-    path = F.when(F.col("up") == root_ref, F.concat(F.lit(volume_root.rstrip("\\/") + sep), F.col("path"))).otherwise("")
-    return records.join(chain.select("file_ref", path.alias("path")), "file_ref", "left")
+        chain = cut(both.select("file_ref", F.coalesce("__u", "up").alias("up"), F.when(F.col("__p").isNull(), F.col("path")).otherwise(F.concat("__p", F.lit(sep), "path")).alias("path")))
+    path = F.concat(F.lit(volume_root.rstrip("\\/") + sep), F.col("path"))
+    return records.join(chain.select("file_ref", path.alias("path")), "file_ref", "left").withColumn("path", F.coalesce("path", F.lit("")))
 
 
-def mount_of(paths: DataFrame, mounts: DataFrame) -> DataFrame:
-    """paths with volume: the longest mount on a component boundary; a path under none is its own first component.
+def volume_of(path: Column, mounts: Sequence[str]) -> Column:
+    """The longest mount on a component boundary; a path under none is its own first component. One expression, no join."""
+    out = F.regexp_extract(path, r"^([^\\/]*)", 1)
+    for m in sorted(set(mounts), key=lambda m: (len(m), m)):
+        top = m.rstrip("\\/")
+        out = F.when(inside(path, top) | (path == m), m).otherwise(out)
+    return out
 
-    Instead of comparing every path with every mount, a path's ancestors are looked up among the mounts.
-    """
-    keyed = paths.withColumn("__c", F.concat(F.array(F.lit("/")), ancestors(F.col("path")), F.array("path")))
-    ids = paths.select("path").distinct()
-    cand = ids.select("path", F.explode(F.concat(F.when(F.col("path").startswith("/"), F.array(F.lit("/"))).otherwise(F.array().cast("array<string>")), ancestors(F.col("path")), F.array("path"))).alias("mount"))
-    best = cand.join(mounts.select("mount").distinct(), "mount").groupBy("path").agg(F.max_by("mount", F.length("mount")).alias("__m"))
-    out = keyed.drop("__c").join(best, "path", "left")
-    first = F.regexp_extract("path", r"^([^\\/]*)", 1)
-    return out.withColumn("volume", F.coalesce("__m", first)).drop("__m")
+
+def mount_of(paths: DataFrame, mounts: DataFrame) -> DataFrame:
+    """paths with volume. Mounts are those of one machine, so they are collected."""
+    return paths.withColumn("volume", volume_of(F.col("path"), [r[0] for r in mounts.select("mount").distinct().collect()]))
 
 
 def lookup_refs(files: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -100,7 +114,7 @@ def remove_prefix(files: DataFrame, prefix: str) -> DataFrame:
 def rename_prefix(files: DataFrame, old: str, new: str) -> DataFrame:
     """A directory and all below it under a new name, derived columns too. Rows that are already there are replaced."""
     moves = inside(F.col("path"), old)
-    moved = files.where(moves).withColumn("path", F.concat(F.lit(new), F.substring("path", len(old) + 1, 1_000_000)))
+    moved = files.where(moves).withColumn("path", F.concat(F.lit(new), F.substring(F.col("path"), F.lit(len(old) + 1), F.length("path"))))
     base = [c for c in files.columns if c not in ("name", "lower_name", "lower_path", "extension", "excluded")]
     moved = derive(moved.select(*base)) if len(base) < len(files.columns) else moved
     stay = files.where(~moves)
@@ -115,9 +129,10 @@ def explode_links(records: DataFrame) -> DataFrame:
 
 
 def last_writer(rows: DataFrame, key: str = "path", sequence: str = "seq") -> DataFrame:
-    """The latest row of each key; max_by aggregates before the shuffle, so a busy key is no hot partition."""
-    cols = [c for c in rows.columns if c != key]
-    return rows.groupBy(key).agg(F.max_by(F.struct(*cols), sequence).alias("__r")).select(key, "__r.*").select(*rows.columns)
+    """The latest row of each key; of equally late ones the greatest by its other columns, so runs agree. A maximum that aggregates
+    before the shuffle, so a busy key is no hot partition."""
+    cols = [sequence, *(c for c in rows.columns if c not in (key, sequence))]
+    return rows.groupBy(key).agg(F.max(F.struct(*cols)).alias("__r")).select(key, "__r.*").select(*rows.columns)
 
 
 def with_parent(files: DataFrame) -> DataFrame:

@@ -195,9 +195,9 @@ def apply(files: DataFrame, o: L.Options, contents: DataFrame | None = None) ->
     query = L.parse(o)
     out = files
     if any(isinstance(t, L.Duplicate) for g in query for t in g):
-        # Counted over the whole catalog, with partial aggregation, so a very common name is no hot partition.
-        names = files.groupBy("lower_name").agg((F.count("*") > 1).alias("__dupe"))
-        out = out.join(names, "lower_name", "left")
+        # Counted over the whole catalog, with partial aggregation; only names that are repeated go on.
+        names = files.groupBy("lower_name").agg(F.count("*").alias("__n")).where("__n > 1").select("lower_name", F.lit(True).alias("__dupe"))
+        out = out.join(names, "lower_name", "left").withColumn("__dupe", F.coalesce("__dupe", F.lit(False)))
     out = out.where(gates(o)).where(predicate(query, o))
     if o.content_paths is not None:
         listed = files.sparkSession.createDataFrame([(p,) for p in o.content_paths], "lower_path string")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -26,13 +28,17 @@ ORACLES: dict[str, str] = {}
 
 _BS = "chr(92)"
 _LOW = lambda c: f"translate({c}, '{D.UPPER}', '{D.LOWER}')"
-_BASE = """base AS (SELECT '/corpus/' || lang || '/' || source || '/' || CASE WHEN doc_id % 17 = 0 THEN 'node_modules/' ELSE '' END
-  || CASE WHEN doc_id % 101 = 0 THEN 'café-' WHEN doc_id % 11 = 0 THEN 'Report ' ELSE 'file-' END || lpad(doc_id::VARCHAR, 8, '0')
-  || CASE doc_id % 7 WHEN 0 THEN '.rs' WHEN 1 THEN '.TXT' WHEN 2 THEN '.json' WHEN 3 THEN '.log' WHEN 4 THEN '.md' WHEN 5 THEN '.tar.gz' ELSE '' END AS path,
-  (CASE WHEN doc_id % 13 = 0 THEN n_chars * 1000 ELSE n_chars END)::BIGINT AS size,
+_NAME = "lpad(doc_id::VARCHAR, 8, '0')"
+_BASE = f"""base AS (SELECT '/corpus/' || lang || '/' || source || '/' || CASE WHEN doc_id % 17 = 0 THEN 'node_modules/' ELSE '' END
+  || CASE WHEN doc_id % 89 = 0 THEN 'd' || {_NAME} || '/README' WHEN doc_id % 97 = 0 THEN 'd' || {_NAME} || '/Makefile' ELSE
+    CASE WHEN doc_id % 101 = 0 THEN 'café-' WHEN doc_id % 73 = 0 THEN 'star*-' WHEN doc_id % 79 = 0 THEN 'set[1]-' WHEN doc_id % 83 = 0 THEN 'report-' WHEN doc_id % 11 = 0 THEN 'Report ' ELSE 'file-' END
+    || {_NAME} || CASE doc_id % 7 WHEN 0 THEN '.rs' WHEN 1 THEN '.TXT' WHEN 2 THEN '.json' WHEN 3 THEN '.log' WHEN 4 THEN '.md' WHEN 5 THEN '.tar.gz' ELSE '' END END AS path,
+  (CASE WHEN doc_id % 59 = 0 THEN 0 WHEN doc_id % 61 = 0 THEN 2147483648 + doc_id WHEN doc_id % 67 = 0 THEN 5368709120 + doc_id WHEN doc_id % 71 = 0 THEN 21474836480 + doc_id
+    WHEN doc_id % 13 = 0 THEN n_chars * 1000 ELSE n_chars END)::BIGINT AS size,
   (1706616000 - 3607 * doc_id - 86400 * (doc_id % 30) + 11644473600) * 10000000 AS created, (1706616000 - 3607 * doc_id + 11644473600) * 10000000 AS modified,
   (1706616000 - 3607 * doc_id + 3600 * (doc_id % 5) + 11644473600) * 10000000 AS accessed, false AS is_dir,
-  (CASE WHEN doc_id % 19 = 0 THEN 2 WHEN doc_id % 23 = 0 THEN 33 ELSE 128 END)::BIGINT AS attributes, doc_id::BIGINT AS file_ref, '/' AS volume, text FROM documents)"""
+  (CASE WHEN doc_id % 19 = 0 THEN 2 WHEN doc_id % 23 = 0 THEN 33 WHEN doc_id % 29 = 0 THEN 4 WHEN doc_id % 31 = 0 THEN 256 WHEN doc_id % 37 = 0 THEN 2048 WHEN doc_id % 41 = 0 THEN 16384
+    WHEN doc_id % 43 = 0 THEN 4096 WHEN doc_id % 47 = 0 THEN 1024 WHEN doc_id % 53 = 0 THEN 8192 ELSE 128 END)::BIGINT AS attributes, doc_id::BIGINT AS file_ref, '/' AS volume, text FROM documents)"""
 _TREE = """up AS (SELECT b.*, unnest(generate_series(1, len(string_split(path, '/')) - 2)) AS k FROM base b),
 dirs AS (SELECT array_to_string(string_split(path, '/')[1:k + 1], '/') AS path, sum(size)::BIGINT AS size, min(modified) AS created, max(modified) AS modified FROM up GROUP BY 1),
 entries AS (SELECT path, size, created, modified, accessed, is_dir, attributes, file_ref, volume FROM base UNION ALL
@@ -51,7 +57,7 @@ WINDOWS = f"WITH {_BASE}, {_TREE}, wine AS (SELECT 'C:' || replace(path, '/', {_
 CONTENTS = f"WITH {_BASE}, {_TREE}, {_derived('entries', 'files')}, contents AS (SELECT {_LOW('path')} AS path_key, text AS body, strlen(text) AS byte_count, modified AS source_modified FROM base) "
 CHANGES = f"""WITH {_BASE}, changes AS (SELECT event_id::BIGINT AS seq, (epoch_us(ts) * 10 + 116444736000000000)::BIGINT AS timestamp,
   CASE event_type WHEN 'signup' THEN 'CREATE' WHEN 'click' THEN 'WRITE' WHEN 'view' THEN 'RENAME' WHEN 'purchase' THEN 'RENAME_NEW' WHEN 'error' THEN 'DELETE' END AS reason,
-  path, false AS is_dir, file_ref FROM events JOIN base ON file_ref = event_id % 200) """
+  path, false AS is_dir, file_ref FROM events JOIN base ON file_ref = (event_id // 3) % (SELECT count(*) FROM base)) """
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
@@ -91,7 +97,8 @@ for _n, _q, _w, _o in [
     ("flt_06_digit", "report?#######3.*", "regexp_full_match(lower_name, 'report[^\\\\][0-9]{7}3[.][^\\\\]*')", {}),
     ("flt_07_class", "file-*[1-3x].[jl]*", "regexp_full_match(lower_name, 'file-[^\\\\]*[1-3x][.][jl][^\\\\]*')", {}),
     ("flt_08_negated_class", "file-*[!0-8].md", "regexp_full_match(lower_name, 'file-[^\\\\]*[^0-8][.]md')", {}),
-    ("flt_09_escape", r"file-\*", "false", {}),
+    ("flt_09_escape", r"star\*-*", "regexp_full_match(lower_name, 'star[*]-[^\\\\]*')", {}),
+    ("flt_09_escape_bracket", r"*\[1]-*3.*", "regexp_full_match(lower_name, '[^\\\\]*[[]1[]]-[^\\\\]*3[.][^\\\\]*')", {}),
     ("flt_10_starts", "^report", "starts_with(lower_name, 'report')", {}),
     ("flt_11_ends", ".GZ$", "ends_with(lower_name, '.gz')", {}),
     ("flt_12_equals", "^file-00000001.txt$", "lower_name = 'file-00000001.txt'", {}),
@@ -167,7 +174,7 @@ for _n, _q, _w, _o in [
     ("flt_48_is_folder", "is:folder", "is_dir", {}),
     ("flt_48_is_file", "is:file", "NOT is_dir", {}),
     ("flt_48_is_unknown", "is:nothing", "false", {}),
-    ("flt_49_invalid", "size:garbage", "false", {}),
+    *[(f"flt_49_invalid{k}", q, "false", {}) for k, q in (("", "size:garbage"), ("_date", "dm:notaday"), ("_attribute", "is:"), ("_length", "len:x"), ("_regex", "regex:("), ("_reference", "frn:abc"))],
     ("flt_50_and", "report .md size:>1kb", "contains(lower_name, 'report') AND contains(lower_name, '.md') AND size > 1024", {}),
     ("flt_51_or", "ext:rs size:>4kb | report or:café", "(extension = 'rs' AND size > 4096) OR contains(lower_name, 'report') OR contains(lower_name, 'café')", {}),
     ("flt_52_and_prefix", "report and:.md", "contains(lower_name, 'report') AND contains(lower_name, '.md')", {}),
@@ -274,9 +281,9 @@ _function("src_08_creation_time", {"x": lambda: D.creation_time(_c("file_ref") %
 _function("src_09_filetime", {"x": lambda: D.from_unix(_c("file_ref"), _c("size") % 1000)}, "(CASE WHEN file_ref = 0 THEN 0 ELSE (file_ref + 11644473600) * 10000000 + (size % 1000) // 100 END)::BIGINT AS x")
 
 
-@query("fn_08_compose")
+@query("fn_08_compose", f"{FILES} SELECT path, lower(nfc_normalize(replace(name, 'é', 'e' || chr(769)))) AS x FROM files")
 def _(spark, sf):
-    return fixtures.files(spark, sf).select("path", D.canonical_key(F.col("name"), compose=True).alias("x"))
+    return fixtures.files(spark, sf).select("path", D.canonical_key(F.regexp_replace("name", "é", "e\u0301"), compose=True).alias("x"))
 
 
 @query("fn_24_name_order", f"{FILES} SELECT path, row_number() OVER (ORDER BY lower_name, path) AS rank FROM files WHERE is_dir")
@@ -300,7 +307,7 @@ _isosql = lambda c: f"strftime(make_timestamp(({c} - {_E}) // 10), '%Y-%m-%dT%H:
 
 
 @query("fn_30_tool_view", rf"{FILES} SELECT name AS filename, regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir, path, size, {_isosql('created')} AS date_created, {_isosql('modified')} AS date_modified, {_isosql('accessed')} AS date_accessed, "
-       "CASE attributes WHEN 2 THEN 'H' WHEN 33 THEN 'AR' WHEN 16 THEN 'D' ELSE '-' END AS attributes, extension, is_dir FROM files")
+       "CASE attributes WHEN 2 THEN 'H' WHEN 33 THEN 'AR' WHEN 16 THEN 'D' WHEN 4 THEN 'S' WHEN 256 THEN 'T' WHEN 1024 THEN 'P' WHEN 2048 THEN 'C' WHEN 4096 THEN 'O' WHEN 8192 THEN 'I' WHEN 16384 THEN 'E' ELSE '-' END AS attributes, extension, is_dir FROM files")
 def _(spark, sf):
     return D.tool_view(fixtures.files(spark, sf))
 
@@ -314,7 +321,8 @@ def _(spark, sf):
 
 
 def _eligible_sql() -> str:
-    return f"NOT is_dir AND size BETWEEN 1 AND 262144 AND NOT excluded AND extension IN {_in_set(T.TEXT_EXTENSIONS)}"
+    """Of the names that the fixtures have: .rs, .txt, .json, .log and .md are text, .gz is not; README and Makefile are, and other bare names not."""
+    return "NOT is_dir AND size BETWEEN 1 AND 262144 AND NOT excluded AND (extension IN ('rs', 'txt', 'json', 'log', 'md') OR lower_name IN ('readme', 'makefile'))"
 
 
 @query("opc_02_needles", f"{CONTENTS} SELECT path_key FROM contents WHERE contains({_LOW('body')}, 'license') AND contains({_LOW('body')}, 'this')")
@@ -322,9 +330,9 @@ def _(spark, sf):
     return T.matching(fixtures.contents(spark, sf), ["License", "THIS"])
 
 
-@query("opc_01_content_term", f"{CONTENTS} SELECT path, size FROM files WHERE NOT excluded AND extension = 'md' AND lower_path IN (SELECT path_key FROM contents WHERE contains({_LOW('body')}, 'rights reserved'))")
+@query("opc_01_content_term", f"{CONTENTS} SELECT path, size FROM files WHERE NOT excluded AND extension = 'md' AND lower_path IN (SELECT path_key FROM contents WHERE contains({_LOW('body')}, 'license'))")
 def _(spark, sf):
-    return apply(fixtures.files(spark, sf), Options(query='ext:md content:"Rights Reserved"'), fixtures.contents(spark, sf)).select("path", "size")
+    return apply(fixtures.files(spark, sf), Options(query='ext:md content:"License"'), fixtures.contents(spark, sf)).select("path", "size")
 
 
 @query("opc_08_all_groups", f"{CONTENTS} SELECT path FROM files WHERE NOT excluded AND (extension = 'md' OR extension = 'rs') AND lower_path IN (SELECT path_key FROM contents WHERE contains({_LOW('body')}, 'token'))")
@@ -342,12 +350,25 @@ def _(spark, sf):
     return fixtures.files(spark, sf).where(T.eligible(F.col("path"), F.col("size"), F.col("is_dir"))).select("path")
 
 
-@query("opc_05_budget", f"{CONTENTS}, r AS (SELECT path, size, sum(size) OVER (ORDER BY path) AS s FROM files WHERE {_eligible_sql()}) SELECT path, size FROM r WHERE s <= 200000")
+def _greedy(source: str, key: str, size: str, budget: int) -> str:
+    """CTEs: t(k, used, took) goes through the rows of `source` in the order of `key`, one by one; `e` has them numbered."""
+    return f"""e AS (SELECT *, row_number() OVER (ORDER BY {key}) AS k FROM {source}),
+t AS (SELECT 0::BIGINT AS k, 0::BIGINT AS used, false AS took UNION ALL
+  SELECT e.k, CASE WHEN t.used + e.{size} <= {budget} THEN t.used + e.{size} ELSE t.used END, t.used + e.{size} <= {budget} FROM t JOIN e ON e.k = t.k + 1)"""
+
+
+@query("opc_05_budget", f"{CONTENTS.replace('WITH ', 'WITH RECURSIVE ', 1)}, c AS (SELECT path, size FROM files WHERE {_eligible_sql()}), {_greedy('c', 'path', 'size', 200_000)} SELECT path, size FROM e JOIN t ON t.k = e.k WHERE took")
 def _(spark, sf):
     rows = fixtures.files(spark, sf).where(T.eligible(F.col("path"), F.col("size"), F.col("is_dir"))).select("path", "size")
     return T.within_budget(rows, 200_000)
 
 
+@query("opc_05_memory_budget", f"{CONTENTS}, r AS (SELECT path, size, coalesce(sum(size) OVER (ORDER BY path ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS s FROM files WHERE {_eligible_sql()}) SELECT path, least(size, 200000 - s)::BIGINT AS size FROM r WHERE s < 200000")
+def _(spark, sf):
+    rows = fixtures.files(spark, sf).where(T.eligible(F.col("path"), F.col("size"), F.col("is_dir"))).select("path", "size")
+    return T.within_budget(rows, 200_000, memory=True)
+
+
 _KNOWN = "known AS (SELECT * FROM contents WHERE byte_count % 2 = 0)"
 
 
@@ -362,9 +383,9 @@ def _(spark, sf):
     return T.stats(fixtures.contents(spark, sf))
 
 
-@query("opj_01_semi", f"{CONTENTS} SELECT path FROM files WHERE lower_path IN (SELECT path_key FROM contents WHERE contains({_LOW('body')}, 'password'))")
+@query("opj_01_semi", f"{CONTENTS} SELECT path FROM files WHERE lower_path IN (SELECT path_key FROM contents WHERE contains({_LOW('body')}, 'license'))")
 def _(spark, sf):
-    return T.search_files(fixtures.files(spark, sf), fixtures.contents(spark, sf), ["password"]).select("path")
+    return T.search_files(fixtures.files(spark, sf), fixtures.contents(spark, sf), ["LICENSE"]).select("path")
 
 
 @query("opj_02_stale_content", f"{CONTENTS}, {_KNOWN} SELECT path FROM files WHERE {_eligible_sql()} AND NOT EXISTS (SELECT 1 FROM known WHERE path_key = lower_path AND source_modified = modified)")
@@ -375,9 +396,9 @@ def _(spark, sf):
 # --- joins and trees ------------------------------------------------------------------------------------------------------
 
 
-@query("opj_03_lookup", f"{FILES}, w AS (SELECT DISTINCT event_id % 150 * 7 AS file_ref FROM events) SELECT w.file_ref::BIGINT AS file_ref, path FROM w LEFT JOIN files ON files.file_ref = w.file_ref")
+@query("opj_03_lookup", f"{FILES}, w AS (SELECT DISTINCT event_id AS file_ref FROM events) SELECT w.file_ref::BIGINT AS file_ref, path FROM w LEFT JOIN files ON files.file_ref = w.file_ref")
 def _(spark, sf):
-    wanted = fixtures.table(spark, sf, "events").select((F.col("event_id") % 150 * 7).cast("long").alias("file_ref"), F.lit("/").alias("volume")).distinct()
+    wanted = fixtures.table(spark, sf, "events").select(F.col("event_id").cast("long").alias("file_ref"), F.lit("/").alias("volume")).distinct()
     return R.lookup_refs(fixtures.files(spark, sf), wanted).select("file_ref", "path")
 
 
@@ -396,7 +417,7 @@ def _(spark, sf):
     return R.mount_of(fixtures.files(spark, sf).select("path"), mounts)
 
 
-_PAIRS = "r AS (SELECT *, lag(reason) OVER w AS lr, lag(path) OVER w AS lp FROM changes WHERE reason IN ('RENAME', 'RENAME_NEW') WINDOW w AS (PARTITION BY file_ref ORDER BY seq))"
+_PAIRS = "r AS (SELECT *, lag(reason) OVER w AS lr, lag(path) OVER w AS lp FROM changes WHERE reason IN ('RENAME', 'RENAME_NEW', 'DELETE') WINDOW w AS (PARTITION BY file_ref ORDER BY seq))"
 
 
 @query("opj_06_rename_pairs", f"{CHANGES}, {_PAIRS} SELECT file_ref, lp AS old_path, path AS new_path, seq FROM r WHERE reason = 'RENAME_NEW' AND lr = 'RENAME'")
@@ -503,9 +524,9 @@ def _(spark, sf):
     return fixtures.files(spark, sf).agg(F.count("*").alias("entries"))
 
 
-@query("agg_10_percentile", f"{FILES}, r AS (SELECT size, row_number() OVER (ORDER BY size) - 1 AS k, count(*) OVER () AS n FROM files) SELECT DISTINCT size AS value FROM r WHERE k = round((n - 1) * 0.95)")
+@query("agg_10_percentile", f"{FILES}, r AS (SELECT size, row_number() OVER (ORDER BY size) - 1 AS k, count(*) OVER () AS n FROM files) SELECT size AS value FROM r WHERE k = round((n - 1) * 0.95)")
 def _(spark, sf):
-    return A.nearest_rank(fixtures.files(spark, sf), "size", 0.95).distinct()
+    return A.nearest_rank(fixtures.files(spark, sf), "size", 0.95)
 
 
 @query("agg_11_distinct", f"{FILES} SELECT DISTINCT lower_name FROM files WHERE is_dir")
@@ -635,26 +656,198 @@ def _(spark, sf):
     return spark.read.schema(feed.PAIRED).parquet(f"{root}/out")
 
 
-@query("ops_16_apply_stream", f"{CHANGES}, {_LAST} SELECT b.path, CASE WHEN l.path IS NULL THEN size ELSE size + 1 END AS size FROM base b LEFT JOIN last l ON b.path = l.path WHERE l.path IS NULL OR l.reason NOT IN ('DELETE', 'RENAME')")
+_STEP = lambda c: f"CASE WHEN {c} = '/corpus/fr/src1' OR starts_with({c}, '/corpus/fr/src1/') THEN '/corpus/french/first' || substr({c}, 16) WHEN {c} = '/corpus/fr' OR starts_with({c}, '/corpus/fr/') THEN '/corpus/french' || substr({c}, 11) WHEN {c} = '/corpus/es' OR starts_with({c}, '/corpus/es/') THEN '/moved' || substr({c}, 11) WHEN {c} = '/corpus/de/src2' OR starts_with({c}, '/corpus/de/src2/') THEN NULL ELSE {c} END"
+#: Files and directories after fixtures.tree_changes: files by their last event and the late writes, directories with the sums of what is below.
+AFTER = f"""{CHANGES}, {_TREE}, last AS (SELECT path, reason FROM changes QUALIFY row_number() OVER (PARTITION BY path ORDER BY seq DESC) = 1),
+now AS (SELECT {_STEP('b.path')} AS path, b.text, b.modified, b.path AS was, l.path IS NOT NULL OR (b.path LIKE '/corpus/fr/%' AND file_ref % 50 = 1) AS changed,
+    size + CASE WHEN l.path IS NOT NULL OR (b.path LIKE '/corpus/fr/%' AND file_ref % 50 = 1) THEN 1 ELSE 0 END AS size FROM base b LEFT JOIN last l ON b.path = l.path
+    WHERE l.path IS NULL OR l.reason NOT IN ('DELETE', 'RENAME') OR (b.path LIKE '/corpus/fr/%' AND file_ref % 50 = 1)),
+files_now AS (SELECT path, size FROM now WHERE path IS NOT NULL),
+dirs_now AS (SELECT {_STEP('path')} AS path FROM dirs),
+all_now AS (SELECT path, size, false AS is_dir FROM files_now UNION ALL
+  SELECT d.path, coalesce((SELECT sum(f.size) FROM files_now f WHERE starts_with(f.path, d.path || '/')), 0)::BIGINT, true FROM dirs_now d WHERE d.path IS NOT NULL) """
+
+
+@query("ops_05_apply_directories", f"{AFTER} SELECT path, size FROM files_now")
 def _(spark, sf):
+    return C.apply_changes(fixtures.base_files(spark, sf), fixtures.tree_changes(spark, sf), fixtures.present(spark, sf).where("not is_dir")).select("path", "size")
+
+
+@query("ops_07_rename_directories", f"{FILES} SELECT CASE WHEN path = '/corpus/en' OR starts_with(path, '/corpus/en/') THEN '/b' || substr(path, 11) WHEN path = '/corpus' THEN '/c' WHEN starts_with(path, '/corpus/') THEN '/c' || substr(path, 8) ELSE path END AS path, CASE path WHEN '/corpus/en' THEN 'b' WHEN '/corpus' THEN 'c' ELSE lower_name END AS lower_name FROM files")
+def _(spark, sf):
+    """Renames that only make sense in turn."""
+    renames = [("/corpus/en", "/a"), ("/a", "/b"), ("/corpus", "/c")]
+    return C.apply_directory_renames(fixtures.files(spark, sf), renames).select("path", "lower_name")
+
+
+def _applied_store(spark: SparkSession, sf: str, runs: int = 2, most: int = 0):
+    """A store after the stream of tree_changes, run twice: the second run finds every batch applied."""
     from .operators.catalog import Store
     from .streaming import feed
 
-    stream, root = _change_stream(spark, sf)
-    store, files = Store(spark, f"{root}/store"), fixtures.base_files(spark, sf)
-    store.replace(files)
-    now = files.withColumn("size", F.col("size") + 1)
-    for _ in range(2):  # the second run finds every batch applied
-        feed.apply_to_catalog(stream, store, lambda paths: now.join(paths, "path", "left_semi"), f"{root}/cp").awaitTermination()
+    root = shared_path(spark, "stream")
+    changes = fixtures.tree_changes(spark, sf)
+    changes.write.json(f"{root}/in")
+    stream = spark.readStream.schema(changes.schema).json(f"{root}/in")
+    store = Store(spark, f"{root}/store")
+    store.replace(fixtures.entries(spark, sf))
+    store.insert_content(fixtures.contents(spark, sf).withColumn("indexed_at", F.lit(0).cast("long")))
+    now = fixtures.present(spark, sf)
+    new = fixtures.contents(spark, sf).withColumn("path_key", D.ascii_lower(fixtures.walked(F.col("path_key")))).where("path_key is not null")
+
+    def bodies(files: DataFrame) -> DataFrame:
+        own = files.select(F.col("lower_path") if "lower_path" in files.columns else D.ascii_lower(F.col("path")).alias("lower_path"))
+        rows = new.join(own, F.col("path_key") == F.col("lower_path"), "left_semi")
+        return rows.select("path_key", F.concat(F.lit("new "), "body").alias("body"), (F.col("byte_count") + 4).alias("byte_count"), F.lit(1).cast("long").alias("indexed_at"), "source_modified")
+
+    for _ in range(runs):
+        feed.apply_to_catalog(stream, store, lambda paths: now.join(paths, "path", "left_semi"), f"{root}/cp", bodies=bodies).awaitTermination()
+    return store
+
+
+@query("ops_16_apply_stream", f"{AFTER} SELECT path, size, is_dir FROM all_now")
+def _(spark, sf):
+    return _applied_store(spark, sf).read().select("path", "size", "is_dir")
+
+
+@query("ops_18_content_refresh", f"""{AFTER} SELECT {_LOW('path')} AS path_key, (strlen(text) + CASE WHEN changed THEN 4 ELSE 0 END)::BIGINT AS byte_count FROM now
+WHERE path IS NOT NULL AND strlen(text) > 0 AND (NOT changed OR (size BETWEEN 1 AND 262144 AND NOT contains(path, '/node_modules/') AND regexp_matches({_LOW('path')}, '([.](rs|txt|json|log|md)|/readme|/makefile)$')))""")
+def _(spark, sf):
+    return _applied_store(spark, sf, 1).read("contents").select("path_key", "byte_count")
+
+
+@query("ops_08_pending", "SELECT '/corpus/en/src3' AS path")
+def _(spark, sf):
+    return _applied_store(spark, sf, 1).read("pending").select("path")
+
+
+def _journal_of(spark: SparkSession, sf: str) -> str:
+    """All changes in a replayable journal of four segments, on this machine."""
+    from .sources import replay
+
+    root = tempfile.mkdtemp(prefix="pathquarry-")
+    rows = [r.asDict() for r in fixtures.changes(spark, sf).drop("seq").orderBy("timestamp", "path", "reason").toLocalIterator()]
+    step = -(-len(rows) // 4) or 1
+    for k in range(0, len(rows), step):
+        replay.write_segment(root, rows[k : k + step])
+    return root
+
+
+def _streamed(spark: SparkSession, source: DataFrame) -> DataFrame:
+    """What a stream gives now, in two runs of one query."""
+    root = shared_path(spark, "replayed")
+    for _ in range(2):
+        source.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/cp").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(source.schema).parquet(f"{root}/out")
+
+
+@query("ops_01_replay", f"{CHANGES} SELECT row_number() OVER (ORDER BY timestamp, path, reason) - 1 AS seq, timestamp, reason, path, file_ref FROM changes")
+def _(spark, sf):
+    from .sources import replay
+
+    return _streamed(spark, replay.stream(spark, _journal_of(spark, sf))).select("seq", "timestamp", "reason", "path", "file_ref")
+
+
+@query("ops_15_overflow", f"{FILES} SELECT path, size FROM files")
+def _(spark, sf):
+    """The journal's beginning is gone: the volume is scanned again."""
+    from .operators.catalog import Store
+    from .sources import replay
+    from .streaming import feed
+
+    journal_path, root = _journal_of(spark, sf), shared_path(spark, "overflow")
+    os.remove(replay.segments(journal_path)[0][1])
+    store, now = Store(spark, root), fixtures.entries(spark, sf)
+    store.replace(now.where("is_dir or file_ref % 2 = 0"))
+    feed.apply_to_catalog(replay.stream(spark, journal_path), store, lambda paths: now.join(paths, "path", "left_semi"), f"{root}/cp", rescan=lambda v: now).awaitTermination()
+    return store.read().select("path", "size")
+
+
+@query("ops_17_resume", "SELECT * FROM (VALUES ('behind', false), ('none saved', false), ('other journal', false), ('same', true), ('two volumes', false)) t(live, resumes)")
+def _(spark, sf):
+    from .operators.catalog import Store
+
+    store, schema = Store(spark, shared_path(spark, "store")), "volume string, journal_id long, cursor long"
+    rows = lambda *r: spark.createDataFrame(list(r), schema)
+    out = [("none saved", store.can_resume(rows(("C:", 1, 10))))]
+    store.save_checkpoints(rows(("C:", 1, 10)))
+    for name, live in (("same", (("C:", 1, 12),)), ("behind", (("C:", 1, 9),)), ("other journal", (("C:", 2, 12),)), ("two volumes", (("C:", 1, 12), ("D:", 1, 1)))):
+        out.append((name, store.can_resume(rows(*live))))
+    return spark.createDataFrame(out, "live string, resumes boolean")
+
+
+@query("ops_19_tail_before_scan", f"{CHANGES}, {_LAST} SELECT b.path, CASE WHEN l.path IS NULL THEN size ELSE size + 1 END AS size FROM base b LEFT JOIN last l ON b.path = l.path WHERE l.path IS NULL OR l.reason NOT IN ('DELETE', 'RENAME')")
+def _(spark, sf):
+    """Events that arrive during the scan are read from where the journal ended before it; later starts resume."""
+    from .operators.catalog import Store
+    from .sources import replay
+    from .streaming import feed
+
+    journal_path, root = tempfile.mkdtemp(prefix="pathquarry-"), shared_path(spark, "tail")
+    replay.write_segment(journal_path, [{"timestamp": 1, "reason": "DELETE", "path": "/before/the/scan", "is_dir": False, "file_ref": 1}])
+    store, files = Store(spark, root), fixtures.base_files(spark, sf)
+    live = lambda: spark.createDataFrame([("/", 7, replay.tail(journal_path))], "volume string, journal_id long, cursor long")
+
+    def scan() -> DataFrame:
+        replay.write_segment(journal_path, [r.asDict() for r in fixtures.changes(spark, sf).orderBy("seq").drop("seq").toLocalIterator()])
+        return files
+
+    for _ in range(2):
+        start = feed.begin(store, live(), scan).first()["cursor"]
+        now = files.withColumn("size", F.col("size") + 1)
+        feed.apply_to_catalog(replay.stream(spark, journal_path, cursor=start), store, lambda paths: now.join(paths, "path", "left_semi"), f"{root}/cp").awaitTermination()
     return store.read().select("path", "size")
 
 
+@query("ops_09_apply_deltas", f"{FILES} SELECT path, greatest(0, size - (SELECT sum(f.size) FROM files f WHERE NOT f.is_dir AND f.file_ref % 3 = 0 AND starts_with(f.path, files.path || '/')))::BIGINT AS size FROM files WHERE is_dir AND path = '/corpus'")
+def _(spark, sf):
+    files = fixtures.files(spark, sf)
+    return R.apply_deltas(files, R.size_deltas(files, files.where("file_ref % 3 <> 0 or is_dir"))).where("path = '/corpus'").select("path", "size")
+
+
 # --- sources, sinks, control ----------------------------------------------------------------------------------------------
 
 
-@query("src_03_walk")
+def _tree_of(spark: SparkSession, sf: str, tag: str) -> str:
+    """A folder on this machine with one small file for each supplier, below its nation."""
+    root = os.path.join(tempfile.mkdtemp(prefix="pathquarry-"), tag)
+    for r in fixtures.table(spark, sf, "supplier").select("s_suppkey", "s_nationkey", "s_name").toLocalIterator():
+        folder = os.path.join(root, f"n{r.s_nationkey}", f"k{r.s_suppkey % 7}")
+        os.makedirs(folder, exist_ok=True)
+        with open(os.path.join(folder, f"{r.s_suppkey}.txt"), "w") as f:
+            f.write(r.s_name)
+    return root
+
+
+_WALK = """WITH f AS (SELECT '/n' || s_nationkey || '/k' || s_suppkey % 7 AS d, '/n' || s_nationkey AS n, s_suppkey, s_name FROM supplier)
+SELECT d || '/' || s_suppkey || '.txt' AS path, strlen(s_name)::BIGINT AS size, false AS is_dir FROM f UNION SELECT d, 0, true FROM f UNION SELECT n, 0, true FROM f UNION SELECT '', 0, true"""
+
+
+@query("src_03_walk", _WALK)
+def _(spark, sf):
+    root = _tree_of(spark, sf, "walk")
+    return filesystem.scan(spark, root).select(F.substring(F.col("path"), F.lit(len(root) + 1), F.length("path")).alias("path"), "size", "is_dir")
+
+
+@query("src_11_volumes", f"SELECT v AS volume, t.* FROM ({_WALK}) t, (VALUES ('one'), ('two')) x(v)")
+def _(spark, sf):
+    roots = [_tree_of(spark, sf, tag) for tag in ("one", "two")]
+    rows = filesystem.scan(spark, *roots, "/does/not/exist")
+    return rows.select(F.regexp_extract("volume", "([^/]*)$", 1).alias("volume"), F.expr("substring(path, length(volume) + 1)").alias("path"), "size", "is_dir")
+
+
+@query("src_05_stat", "SELECT s_suppkey, strlen(s_name)::BIGINT AS size, false AS is_dir FROM supplier")
 def _(spark, sf):
-    return filesystem.scan(spark, "/etc").select("path", "size", "is_dir")
+    root = _tree_of(spark, sf, "stat")
+    keys = fixtures.table(spark, sf, "supplier").select("s_suppkey", "s_nationkey").collect()
+    rows = [(r[0], filesystem.stat_path(f"{root}/n{r[1]}/k{r[0] % 7}/{r[0]}.txt")) for r in keys]
+    return spark.createDataFrame([(k, row[1], row[5]) for k, row in rows], "s_suppkey long, size long, is_dir boolean")
+
+
+@query("src_16_bodies", "SELECT s_suppkey || '.txt' AS name, s_name AS body, strlen(s_name)::BIGINT AS byte_count FROM supplier")
+def _(spark, sf):
+    root = _tree_of(spark, sf, "bodies")
+    return T.read_bodies(spark, [f"file://{root}/*/*/*.txt"]).select(F.regexp_extract("path_key", "([^/]*)$", 1).alias("name"), "body", "byte_count")
 
 
 @query("src_06_discover", "SELECT * FROM (VALUES ('/', 'a'), ('/home', 'b')) t(mount, device)")
@@ -679,12 +872,24 @@ def _(spark, sf):
 def _(spark, sf):
     path = shared_path(spark, "journal")
     journal.append(fixtures.changes(spark, sf), path)
-    return journal.read(spark, path, None)
+    return journal.read(spark, path, None).select("timestamp", "reason", "path", "is_dir")
+
+
+@query("src_13_journal_tail", f"{CHANGES} SELECT seq, path FROM changes ORDER BY (seq * 7919) % 10007 DESC, seq DESC LIMIT 500")
+def _(spark, sf):
+    """Arrival is in another order than time."""
+    path, changes = shared_path(spark, "journal"), fixtures.changes(spark, sf)
+    journal.append(changes.withColumn("file_ref", F.col("seq")).withColumn("seq", F.col("seq") * 7919 % 10007 * 1_000_000_000 + F.col("seq")), path)
+    return journal.read(spark, path, 500).select(F.col("file_ref").alias("seq"), "path")
 
 
 @query("src_14_candidate_scan", f"{FILES} SELECT path, size FROM files WHERE extension = 'rs' AND size > 1000")
 def _(spark, sf):
-    return fixtures.files(spark, sf).where("extension = 'rs' and size > 1000").select("path", "size")
+    from .operators.catalog import Store
+
+    store = Store(spark, shared_path(spark, "store"))
+    store.replace(fixtures.entries(spark, sf))
+    return store.read().where("extension = 'rs' and size > 1000").select("path", "size")
 
 
 @query("src_15_synthetic", "WITH g AS (SELECT range AS n FROM range(20000)) SELECT 'C:' || chr(92) || 'benchmark' || chr(92) || 'workspace-' || lpad((n % 50)::VARCHAR, 3, '0') || chr(92) || CASE WHEN n % 17 = 0 THEN 'node_modules' ELSE 'src' END || chr(92) || 'module-' "
@@ -694,13 +899,16 @@ def _(spark, sf):
     return synthetic(spark, 20_000).select("path", "size", "is_dir", "attributes")
 
 
-@query("snk_01_replace", f"{FILES} SELECT path, size, extension FROM files")
+@query("snk_01_replace", f"{FILES} SELECT path, size + CASE WHEN is_dir THEN (SELECT count(*) FROM base b WHERE starts_with(b.path, files.path || '/')) ELSE 1 END AS size, extension, modified + CASE WHEN is_dir THEN 0 ELSE 30 END AS modified FROM files")
 def _(spark, sf):
+    """Every file four times: the row modified last stays."""
     from .operators.catalog import Store
 
-    store = Store(spark, shared_path(spark, "store"))
-    store.replace(fixtures.entries(spark, sf))
-    return store.read().select("path", "size", "extension")
+    store, rows = Store(spark, shared_path(spark, "store")), fixtures.entries(spark, sf)
+    files = rows.where("not is_dir").withColumn("k", F.explode(F.array(*map(F.lit, (10, 30, 0, 20)))))
+    files = files.withColumn("modified", F.col("modified") + F.col("k")).withColumn("size", F.when(F.col("k") == 30, F.col("size") + 1).otherwise(F.col("k"))).drop("k")
+    store.replace(rows.where("is_dir").unionByName(files))
+    return store.read().select("path", "size", "extension", "modified")
 
 
 @query("snk_02_replace_volume", f"{FILES} SELECT path, volume FROM files UNION ALL SELECT 'C:' || chr(92) || 'x.txt', 'C:'")
@@ -709,7 +917,7 @@ def _(spark, sf):
 
     store = Store(spark, shared_path(spark, "store"))
     store.replace(fixtures.entries(spark, sf).unionByName(fixtures.windows_files(spark, sf).select(*fixtures.entries(spark, sf).columns)))
-    store.replace_volume("C:", fixtures.base_files(spark, sf).limit(1).withColumn("path", F.lit("C:\\x.txt")).withColumn("volume", F.lit("C:")))
+    store.replace_volume("C:", fixtures.base_files(spark, sf).where("file_ref = 1").withColumn("path", F.lit("C:\\x.txt")).withColumn("volume", F.lit("C:")))
     return store.read().select("path", "volume")
 
 
@@ -724,12 +932,21 @@ def _(spark, sf):
     return journal.from_lines(journal.to_lines(D.entry_view(fixtures.files(spark, sf))), "path string")
 
 
-@query("snk_06_content_insert", f"{CONTENTS}, r AS (SELECT path_key, byte_count, sum(byte_count) OVER (ORDER BY path_key) AS s FROM contents) SELECT path_key, byte_count FROM r WHERE s <= 300000")
+_OLD = "old AS (SELECT path_key, byte_count FROM contents WHERE source_modified // 36070000000 % 4 = 1)"
+
+
+@query("snk_06_content_insert", f"{CONTENTS.replace('WITH ', 'WITH RECURSIVE ', 1)}, {_OLD}, c AS (SELECT path_key, byte_count FROM contents WHERE path_key NOT IN (SELECT path_key FROM old)), {_greedy('c', 'path_key', 'byte_count', 300_000)} "
+       "SELECT path_key, byte_count FROM old UNION ALL SELECT path_key, byte_count FROM e JOIN t ON t.k = e.k WHERE took")
 def _(spark, sf):
+    """A quarter is stored; of the rest goes in what fits, in path order. What is stored stays."""
     from .operators.catalog import Store
 
     store = Store(spark, shared_path(spark, "store"))
-    store.insert_content(fixtures.contents(spark, sf).withColumn("indexed_at", F.lit(0).cast("long")), 300_000)
+    rows = fixtures.contents(spark, sf).withColumn("indexed_at", F.lit(0).cast("long"))
+    old = rows.where("floor(source_modified / 36070000000) % 4 = 1")
+    store.insert_content(old)
+    used = store.read("contents").agg(F.sum("byte_count")).first()[0] or 0
+    store.insert_content(rows.join(old.select("path_key"), "path_key", "left_anti"), used + 300_000)
     return store.read("contents").select("path_key", "byte_count")
 
 
@@ -744,12 +961,12 @@ def _(spark, sf):
     return store.read("checkpoints")
 
 
-@query("snk_04_append", f"{CHANGES} SELECT timestamp, reason, path, is_dir FROM changes WHERE seq % 3 = 0 UNION ALL SELECT timestamp, reason, path, is_dir FROM changes WHERE seq % 3 = 1")
+@query("snk_04_append", f"{CHANGES} SELECT timestamp, reason, path, is_dir FROM changes")
 def _(spark, sf):
     path, changes = shared_path(spark, "journal"), fixtures.changes(spark, sf)
     for k in (0, 1):
-        journal.append(changes.where(F.col("seq") % 3 == k), path)
-    return journal.read(spark, path, None)
+        journal.append(changes.where(F.col("seq") % 2 == k), path)
+    return journal.read(spark, path, None).select("timestamp", "reason", "path", "is_dir")
 
 
 @query("snk_07_clear", "SELECT 0::BIGINT AS files, 0::BIGINT AS bytes")
@@ -785,6 +1002,78 @@ def _(spark, sf):
     return store.validate()
 
 
+@query("snk_03_store_upsert", f"{FILES} SELECT path, CASE WHEN is_dir THEN (SELECT sum(f.size + CASE WHEN f.file_ref % 2 = 0 THEN 7 ELSE 0 END) FROM files f WHERE NOT f.is_dir AND starts_with(f.path, files.path || '/')) WHEN file_ref % 2 = 0 THEN size + 7 ELSE size END::BIGINT AS size FROM files")
+def _(spark, sf):
+    from .operators.catalog import Store
+
+    store = Store(spark, shared_path(spark, "store"))
+    store.replace(fixtures.entries(spark, sf))
+    store.upsert(fixtures.base_files(spark, sf).where("file_ref % 2 = 0").withColumn("size", F.col("size") + 7))
+    return store.read().select("path", "size")
+
+
+@query("snk_04_append_stream", f"{CHANGES} SELECT seq, timestamp, reason, path FROM changes")
+def _(spark, sf):
+    from .streaming import feed
+
+    stream, root = _change_stream(spark, sf)
+    for _ in range(2):
+        feed.to_journal(stream, f"{root}/journal", f"{root}/cp").awaitTermination()
+    return spark.read.schema(fixtures.changes(spark, sf).schema).json(f"{root}/journal").select(*_SHOW.split(", "))
+
+
+@query("opx_03_count", f"{FILES} SELECT count(*) AS total FROM files WHERE NOT excluded AND contains(lower_name, 'report') AND size > 1024")
+def _(spark, sf):
+    from .api import Catalog
+
+    return spark.createDataFrame([(Catalog(fixtures.files(spark, sf)).count("report size:>1kb"),)], "total long")
+
+
+@query("opx_03_aggregate", f"{FILES} SELECT {_TOTALS} FROM files WHERE NOT excluded AND extension IN ('md', 'rs')")
+def _(spark, sf):
+    from .api import Catalog
+
+    return Catalog(fixtures.files(spark, sf)).aggregate("ext:md,rs", top=3).select("total", "files", "folders", "total_size")
+
+
+@query("opx_03_recent", f"{CHANGES} SELECT {_SHOW} FROM changes WHERE reason = 'DELETE' ORDER BY seq DESC LIMIT 30")
+def _(spark, sf):
+    from .api import Catalog
+
+    return Catalog(fixtures.files(spark, sf), changes=fixtures.changes(spark, sf)).recent_changes(limit=30, reasons="deleted").select(*_SHOW.split(", "))
+
+
+@query("opx_06_validate_damaged", f"{FILES} SELECT 1::BIGINT AS null_paths, count(*) FILTER (WHERE file_ref % 5 = 0 AND NOT is_dir)::BIGINT AS negative_sizes, count(*) FILTER (WHERE file_ref % 3 = 0 AND NOT is_dir)::BIGINT AS repeated_paths FROM files")
+def _(spark, sf):
+    from .operators.catalog import Store
+
+    store, rows = Store(spark, shared_path(spark, "store")), fixtures.entries(spark, sf)
+    rows = rows.withColumn("size", F.when(~F.col("is_dir") & (F.col("file_ref") % 5 == 0), -1).otherwise(F.col("size")))
+    twice = rows.where("not is_dir and file_ref % 3 = 0").withColumn("size", F.lit(3).cast("long"))
+    none = rows.where("file_ref = 1").withColumn("path", F.lit(None).cast("string"))
+    store.write("files", D.derive(rows.unionByName(twice).unionByName(none)))
+    return store.validate()
+
+
+@query("opx_07_quarantine", f"{FILES} SELECT path, size FROM files UNION ALL SELECT 'files:C:', 1")
+def _(spark, sf):
+    """The files of one volume are damaged: they are put aside, and the other volume stays."""
+    from .operators.catalog import Store
+
+    root = shared_path(spark, "store")
+    store = Store(spark, root)
+    store.replace(fixtures.entries(spark, sf).unionByName(fixtures.windows_files(spark, sf).select(*fixtures.entries(spark, sf).columns)))
+    bad = store.manifest().tables["files"]["C:"]
+    fs, path = store._fs, store._path
+    for s in fs.listStatus(path(bad)):
+        if s.getPath().getName().endswith(".parquet"):
+            out = fs.create(s.getPath(), True)
+            out.write(bytearray(b"no parquet"))
+            out.close()
+    found = store.quarantine()
+    return store.read().select("path", "size").union(spark.createDataFrame([(f"{t}:{p}", 1) for t, p in found], "path string, size long"))
+
+
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     """Totals, largest rows and extensions of a filtered catalog."""
     return QUERIES["agg_01_aggregate"](spark, sf)

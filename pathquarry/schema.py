@@ -21,6 +21,8 @@ DERIVED = _struct(name=_s, lower_name=_s, lower_path=_s, extension=_s, excluded=
 CATALOG = T.StructType(ENTRY.fields + DERIVED.fields)
 CHANGE = _struct(timestamp=_l, reason=_s, path=_s, is_dir=_b)
 CONTENT = _struct(path_key=_s, body=_s, byte_count=_l, indexed_at=_l, source_modified=_l)
+PENDING = _struct(file_ref=_l, path=_s, seq=_l)
+JOURNAL = _struct(seq=_l, timestamp=_l, reason=_s, path=_s, is_dir=_b, file_ref=_l)
 CHECKPOINT = _struct(volume=_s, journal_id=_l, cursor=_l)
 
 # Attribute letters and bits, in the order in which they are printed.

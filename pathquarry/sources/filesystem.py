@@ -1,4 +1,4 @@
-"""A file-system scan as a Spark data source: one partition for each first-level subtree.
+"""A file-system scan as a Spark data source: one partition for each subtree, split level by level until there are enough.
 
 Symbolic links, names that are not UTF-8 and other devices are left out; times are FILETIMEs; unreadable entries are skipped.
 Usage: spark.dataSource.register(FileSystem); spark.read.format("filesystem").load("/path").
@@ -7,6 +7,7 @@ Usage: spark.dataSource.register(FileSystem); spark.read.format("filesystem").lo
 from __future__ import annotations
 
 import os
+import re
 import stat
 from collections.abc import Iterator
 from functools import reduce
@@ -26,8 +27,8 @@ def filetime(ns: int) -> int:
     return 0 if seconds == 0 else (seconds + 11_644_473_600) * 10_000_000 + rest // 100
 
 
-def stat_path(path: str, volume: str = "/") -> tuple | None:
-    """The catalog row of one path; None if there is none, or it is a link."""
+def stat_path(path: str, volume: str = "/", read_only: bool = True) -> tuple | None:
+    """The catalog row of one path; None if there is none, or it is a link. read_only: whether missing write bits set that attribute."""
     try:
         path.encode()
         s = os.lstat(path)
@@ -37,20 +38,24 @@ def stat_path(path: str, volume: str = "/") -> tuple | None:
         return None
     is_dir = stat.S_ISDIR(s.st_mode)
     name = os.path.basename(path)
-    bits = (0x10 if is_dir else 0) | (0x2 if name.startswith(".") else 0) | (0 if s.st_mode & 0o222 else 0x1) | (0x20 if stat.S_ISREG(s.st_mode) else 0)
+    bits = (0x10 if is_dir else 0) | (0x2 if name.startswith(".") else 0) | (0x1 if read_only and not s.st_mode & 0o222 else 0) | (0x20 if stat.S_ISREG(s.st_mode) else 0)
     born = int(getattr(s, "st_birthtime", 0) * 1_000_000_000) or s.st_ctime_ns or s.st_mtime_ns
     return path, 0 if is_dir else s.st_size, filetime(born), filetime(s.st_mtime_ns), filetime(s.st_atime_ns), is_dir, bits, s.st_ino, volume
 
 
 class Subtree(InputPartition):
-    def __init__(self, path: str, deep: bool, device: int):
-        self.path, self.deep, self.device = path, deep, device
+    """Directories with all below them, or (not deep) with their files only."""
+
+    def __init__(self, paths: list[str], deep: bool, device: int):
+        self.paths, self.deep, self.device = paths, deep, device
 
 
 class _Reader(DataSourceReader):
     def __init__(self, options: dict):
         self.root = options.get("path", "/")
         self.volume = options.get("volume", self.root)
+        self.least = int(options.get("partitions", 64))
+        self.read_only = options.get("readonly", "true").lower() == "true"
 
     def _children(self, path: str) -> list[str]:
         try:
@@ -60,26 +65,32 @@ class _Reader(DataSourceReader):
 
     def partitions(self) -> list[InputPartition]:
         device = os.lstat(self.root).st_dev
-        below = [p for p in self._children(self.root) if os.path.isdir(p)]
-        return [Subtree(self.root, False, device), *(Subtree(p, True, device) for p in sorted(below, key=os.fsencode))]
+        parts, front = [], [self.root]
+        while front and len(front) < self.least:
+            parts.append(Subtree(front, False, device))
+            front = [p for d in front for p in self._children(d) if os.path.isdir(p) and self._on(p, device)]
+        return [*parts, *(Subtree([p], True, device) for p in sorted(front, key=os.fsencode))]
+
+    @staticmethod
+    def _on(path: str, device: int) -> bool:
+        try:
+            return os.lstat(path).st_dev == device
+        except OSError:
+            return False
 
     def read(self, part: Subtree) -> Iterator[tuple]:
-        todo = [part.path]
-        if not part.deep:  # the root itself and its files; its directories are partitions of their own
-            todo = [p for p in self._children(part.path) if not os.path.isdir(p)]
-            if (own := stat_path(part.path, self.volume)) is not None:
-                yield own
+        todo = list(part.paths)
+        if not part.deep:  # directories below are in other partitions, but for those of other devices, which are rows without children
+            for d in part.paths:
+                todo += [p for p in self._children(d) if not os.path.isdir(p) or not self._on(p, part.device)]
         while todo:
             path = todo.pop()
-            row = stat_path(path, self.volume)
+            row = stat_path(path, self.volume, self.read_only)
             if row is None:
                 continue
             yield row
-            try:
-                if row[5] and os.lstat(path).st_dev == part.device:
-                    todo += self._children(path)
-            except OSError:
-                continue
+            if part.deep and row[5] and self._on(path, part.device):
+                todo += self._children(path)
 
 
 class FileSystem(DataSource):
@@ -116,7 +127,8 @@ def mounts(spark: SparkSession, table: str = "/proc/mounts") -> DataFrame:
     rows = []
     if os.path.exists(table):
         with open(table) as f:
-            rows = [tuple(line.split()[:3]) for line in f if len(line.split()) >= 3]
+            fields = [line.split()[:3] for line in f if len(line.split()) >= 3]
+            rows = [tuple(re.sub(r"\\([0-7]{3})", lambda m: chr(int(m[1], 8)), x) for x in r) for r in fields]  # blanks are \040 there
     return spark.createDataFrame(rows, "device string, mount string, type string")
 
 

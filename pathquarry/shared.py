@@ -51,17 +51,19 @@ def cut(df: DataFrame, tag: str = "cut") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def join_hot(rows: DataFrame, table: DataFrame, key: str, often: str, total: int, how: str = "inner") -> DataFrame:
-    """rows joined with table (one row a key) on key; `often` says how many of `total` rows have the key.
+def join_hot(rows: DataFrame, table: DataFrame, key: str, often: str, total: int) -> DataFrame:
+    """rows joined with table (one row a key, written before) on key; `often` says how many of `total` rows have the key.
 
     Keys of more than a thousandth of the rows are fewer than 1,000, so they are broadcast and no task gets all rows of one; the
-    rest is joined by a shuffle. The result has the columns of rows and table, key once, `often` dropped.
+    rest is joined as Spark sees fit. The result has the columns of rows and table, key once, `often` dropped.
     """
     hot = F.col(often) > max(total // 1000, 1000)
+    rare = table.where(~hot).drop(often)
+    if table.where(hot).isEmpty():
+        return rows.join(rare, key)
     few = F.broadcast(table.where(hot).drop(often))
-    rest = rows.join(few.select(key), key, "left_anti").join(table.where(~hot).drop(often), key, how)
     both = rows.join(few, key)
-    return both.unionByName(rest.select(*both.columns))
+    return both.unionByName(rows.join(few.select(key), key, "left_anti").join(rare, key).select(*both.columns))
 
 
 def numbered(df: DataFrame, by: list[Column], name: str = "rank") -> DataFrame:

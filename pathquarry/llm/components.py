@@ -10,7 +10,7 @@ from .common import cut, join_hot
 
 def _least(pairs: DataFrame) -> DataFrame:
     """(u, m, n): the smallest of u and its neighbours v, and the number of these. Aggregates before the shuffle, so a hub is no hot key."""
-    return pairs.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+    return cut(pairs.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n"), "least")
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

@@ -225,6 +225,7 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, width: int = WIDT
     reps = counted.where("rep is not null")
     found = components(links(reps.select("fp", "rep"), distance))
     ids = counted.join(found, counted.rep == found.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"), "__n")
+    ids = cut(ids, "fingerprints")
     return join_hot(rows, ids, "fp", "__n", rows.count()).select(*rows.columns, "component_id")
 
 

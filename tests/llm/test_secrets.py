@@ -17,9 +17,12 @@ def brute(text):
     return sorted((m.start(), k, m.end()) for k, r in enumerate(BASE) for m in EXPECT[r.kind][0].finditer(text) if EXPECT[r.kind][1](m))
 
 
+BASE_SCANNER = Scanner(BASE)
+
+
 @pytest.fixture(scope="module")
 def scanner():
-    return Scanner(BASE)
+    return BASE_SCANNER
 
 
 @pytest.mark.parametrize("text", [
@@ -39,9 +42,19 @@ def test_random(scanner):
 
 
 def test_all_rules_keep_base_spans():
+    scanner = Scanner(RULES)
     text = "token: ghp_" + "a1B2" * 9 + " and -----BEGIN RSA PRIVATE KEY-----"
-    spans = Scanner(RULES).spans(text.encode())
-    assert [(s, RULES[k].kind) for s, k, _ in spans] == [(0, "assign"), (7, "github"), (52, "pem")]
+    assert [(s, RULES[k].kind) for s, k, _ in scanner.spans(text.encode())] == [(0, "assign"), (7, "github"), (52, "pem")]
+    text = "AIza" + "Sy_-" * 8 + "abc x=xoxb-12345678901-abc sk_live_" + "a1" * 12 + " rk_live_short AIzaToo-short xoxz-1234567890123"
+    assert [(s, e, RULES[k].kind) for s, k, e in scanner.spans(text.encode())] == [(0, 39, "google"), (42, 62, "slack"), (63, 95, "stripe")]
+    plain = {r.kind: re.compile(r.pattern) for r in RULES[3:]}
+    rng = random.Random(6)
+    parts = ["AIza", "xoxb-", "sk_live_", "gho_", "a" * 20, "Z9" * 8, "-", "_", " ", "token=", "0f" * 9, "-----BEGIN EC PRIVATE KEY-----"]
+    for _ in range(800):
+        text = "é" + "".join(rng.choice(parts) for _ in range(rng.randrange(14)))
+        got = [x for x in scanner.spans(text.encode()) if x[1] >= 3]
+        want = sorted((len(text[: m.start()].encode()), k, len(text[: m.end()].encode())) for k, r in enumerate(RULES) if k >= 3 for m in plain[r.kind].finditer(text) if m.end() - m.start() >= r.least)
+        assert got == want and [x for x in scanner.spans(text.encode()) if x[1] < 3] == BASE_SCANNER.spans(text.encode()), text
 
 
 def test_minimal():

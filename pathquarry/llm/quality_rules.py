@@ -1,7 +1,8 @@
 """Quality rules: a threshold table compiled into one Spark projection, without user functions.
 
 Null and empty texts have no words: every count is 0, the base test fails, and they are not kept. Repeated rows are judged
-one by one and alike; other columns pass through (`judge` adds its own under the names in COLUMNS and replaces clashing ones).
+one by one and alike; texts of any length are measured whole (a row's arrays grow with its own text only). An empty table gives no
+rows. Other columns pass through (`judge` adds its own under the names in COLUMNS and replaces clashing ones).
 """
 
 from __future__ import annotations

@@ -8,7 +8,10 @@ the differing bits of parity maps of 128 and then of 1,024 bits (differing bits
 has). What is left is verified on the whole sets. The order puts shingles last that are frequent in a sample of texts; a poor sample makes lists longer
 and loses nothing.
 
-First every entry of a list is paired with one that it may be similar to, by preference one whose shingles are nearly all found
+simhash.keep_one gives near_duplicates its fingerprints and their index: the links that these find are verified first, and the lists
+then only serve texts that they leave apart.
+
+Next every entry of a list is paired with one that it may be similar to, by preference one whose shingles are nearly all found
 elsewhere: in a family of copies that is the text they were made from, and it connects them. Then all pairs of a list whose ends the
 links of the first pairs don't connect are verified. So a large group of copies is connected without comparing all its pairs, and
 the components are those of all similar pairs.
@@ -20,7 +23,7 @@ nothing. Texts of any length are taken whole. An empty table gives no rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -185,8 +188,8 @@ def _may(a: dict, b: dict) -> np.ndarray:
 
 
 def _places(c: dict, every: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of entries of whole lists that may be similar, as places: for each entry the first before it in the list, or every one
-    between two parts."""
+    """Pairs of entries of whole lists that may be similar, as places, between two parts: for each entry the first before it in the
+    list, or every one."""
     cuts = np.flatnonzero(np.concatenate([[True], c["token"][1:] != c["token"][:-1], [True]]))
     size = np.diff(cuts)
     a, b = [], []
@@ -196,9 +199,8 @@ def _places(c: dict, every: bool) -> tuple[np.ndarray, np.ndarray]:
     for r in range(int(size[size <= SHORT].max(initial=1)) - 1):  # the r-th of each list with all behind it
         j = np.flatnonzero(open_ & (place > r))
         i = begin[j] + r
-        if every:
-            other = c["part"][i] != c["part"][j]
-            i, j = i[other], j[other]
+        other = c["part"][i] != c["part"][j]
+        i, j = i[other], j[other]
         ok = _may({k: v[i] for k, v in c.items()}, {k: v[j] for k, v in c.items()})
         a.append(i[ok])
         b.append(j[ok])
@@ -211,8 +213,9 @@ def _places(c: dict, every: bool) -> tuple[np.ndarray, np.ndarray]:
             stop = min(i + step, e)
             ok = _may({k: v[i:stop, None] for k, v in c.items()}, {k: v[None, s:stop] for k, v in c.items()})
             ok &= np.arange(i, stop)[:, None] > np.arange(s, stop)[None, :]
+            ok &= c["part"][i:stop, None] != c["part"][None, s:stop]
             if every:
-                x, y = np.nonzero(ok & (c["part"][i:stop, None] != c["part"][None, s:stop]))
+                x, y = np.nonzero(ok)
             else:
                 x = np.flatnonzero(ok.any(axis=1))
                 y = ok[x].argmax(axis=1)
@@ -315,8 +318,11 @@ def _similar(pairs: DataFrame, maps: DataFrame, docs: DataFrame, text: str) -> D
     return cut(both.where((UP + DOWN) * overlap >= UP * (F.size("own_a") + F.size("own_b"))).select("a", "b"), "similar")
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(id, text_hash, component_id) of the rows that have an id: the smallest id reachable by pairs of similarity 0.8 or more."""
+def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", fingerprint: Callable | None = None, link: Callable | None = None) -> DataFrame:
+    """(id, text_hash, component_id) of the rows that have an id: the smallest id reachable by pairs of similarity 0.8 or more.
+
+    fingerprint(data, offsets) gives 64 bits for each text, link(reps(fp, rep)) pairs of reps that are near by them: verified first.
+    """
     docs = docs.where(F.col(f"`{doc_id}`").isNotNull())
     kind = docs.schema[doc_id].dataType.simpleString()
 
@@ -324,20 +330,28 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
         for b in pieces(batches, "text"):
             token, first = shingles(*text_bytes(b.column("text")))
             wide = pa.array([x.tobytes() for x in _wide(token, first)], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("text_hash"), pa.array(_keys(token, first)), pa.array(np.diff(first).astype(np.int32)), wide], ["id", "text_hash", "key", "n", "wide"])
+            fp = np.zeros(b.num_rows, np.uint64) if fingerprint is None else fingerprint(*text_bytes(b.column("text")))
+            columns = [b.column("id"), b.column("text_hash"), pa.array(_keys(token, first)), pa.array(np.diff(first).astype(np.int32)), wide, pa.array(fp.view(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "text_hash", "key", "n", "wide", "fp"])
 
     named = docs.select(F.col(f"`{doc_id}`").alias("id"), text_hash(F.col(f"`{text}`")).alias("text_hash"), F.col(f"`{text}`").alias("text"))
-    rows = cut(named.mapInArrow(name, f"id {kind}, text_hash long, key long, n int, wide binary"), "sets")
-    counted = cut(rows.groupBy("key").agg(F.min("id").alias("least"), F.count("*").alias("rows"), F.max("n").alias("n"), F.max("wide").alias("wide")), "sets")
+    rows = cut(named.mapInArrow(name, f"id {kind}, text_hash long, key long, n int, wide binary, fp long"), "sets")
+    counted = cut(rows.groupBy("key").agg(F.min("id").alias("least"), F.count("*").alias("rows"), F.max("n").alias("n"), F.max("wide").alias("wide"), F.min("fp").alias("fp")), "sets")
     maps = counted.select("key", "n", "wide")
     total = rows.count()
+    tried = links = docs.sparkSession.createDataFrame([], "a long, b long")
+    if link is not None:
+        tried = cut(_by_fingerprints(counted, link), "tried")
+        links = _similar(tried, maps, docs, text)
     by_list = lambda df, *order: df.repartition("token").sortWithinPartitions("token", *order)
     lists = cut(by_list(_postings(docs, text, _frequent(docs, text, total)), "key").mapInArrow(_several, _LIST_SCHEMA), "lists")
     # How many of the indexed shingles of a set no other has: few in a text that others were made from.
     alone = lists.groupBy("key").agg((F.max(F.col("n") + 1 - F.expr(f"floor(({UP} * n + {DOWN - 1}) / {DOWN})")) - F.count("*")).alias("alone"))
-    tried = cut(by_list(lists.join(alone, "key"), "alone", "key").mapInArrow(_first_round, "a long, b long").distinct(), "tried")
-    links = _similar(tried, maps, docs, text)
-    parts = _parts(links)
+    known = alone.join(_parts(links), "key", "left").withColumn("part", F.coalesce("part", "key"))
+    once = by_list(lists.join(known, "key"), "alone", "key").mapInArrow(_first_round, "a long, b long").distinct()
+    once = cut(once.join(tried, ["a", "b"], "left_anti"), "tried")
+    links, tried = links.union(_similar(once, maps, docs, text)), tried.union(once)
+    parts = cut(_parts(links), "parts")
     left = by_list(lists.join(parts, "key", "left").withColumn("part", F.coalesce("part", "key")), "key").mapInArrow(_open_entries, f"{_LIST_SCHEMA}, part long")
     rest = by_list(cut(left, "lists").join(maps.select("key", "wide"), "key"), "key").mapInArrow(_second_round, "a long, b long").distinct()
     rest = cut(rest.join(tried, ["a", "b"], "left_anti"), "tried")
@@ -350,6 +364,14 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     return join_hot(rows.select("id", "text_hash", "key"), found, "key", "rows", total).select("id", "text_hash", "component_id")
 
 
+def _by_fingerprints(counted: DataFrame, link: Callable) -> DataFrame:
+    """Pairs of sets to verify: those with equal fingerprints, as pairs with the smallest key, and what link finds between these."""
+    reps = cut(counted.groupBy("fp").agg(F.min("key").alias("rep")), "fingerprints")
+    equal = counted.select("fp", "key").join(reps, "fp").where("key <> rep").select(F.col("rep").alias("a"), F.col("key").alias("b"))
+    near = link(reps).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return equal.union(near).distinct()
+
+
 def _parts(links: DataFrame) -> DataFrame:
     return components(links).select(F.col("node").alias("key"), F.col("component").alias("part"))
 

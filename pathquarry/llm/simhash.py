@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import near_text
-from .common import LOWER, cut, join_hot, pieces, shared_path, text_bytes, word_spans
+from .common import LOWER, cut, join_hot, pieces, text_bytes, word_spans
 from .components import components
 
 SEED = 42
@@ -36,39 +36,44 @@ DISTANCE = 4
 BLOCK = 2048
 
 
+def fingerprints_of(data: np.ndarray, offsets: np.ndarray, width: int, seed: int) -> np.ndarray:
+    """The 64-bit fingerprint of each text's width-word shingles, repeats included."""
+    from xxhash import xxh64_intdigest
+
+    data = LOWER[data]
+    starts, ends, first = word_spans(data, offsets)
+    # All words again, one blank behind each: a shingle is then one slice.
+    sizes = ends - starts + 1
+    at = np.concatenate([[0], np.cumsum(sizes)])
+    plain = np.full(at[-1], 32, np.uint8)
+    fill = np.repeat(starts - at[:-1], sizes) + np.arange(at[-1])
+    blank = at[1:] - 1
+    fill[blank] = 0
+    plain[:] = data[fill] if len(data) else 32
+    plain[blank] = 32
+    plain = plain.tobytes()
+    at = at.tolist()
+    out = np.zeros(len(first) - 1, np.uint64)
+    for row in range(len(out)):
+        i, j = int(first[row]), int(first[row + 1])
+        if i == j:
+            continue
+        last = max(j - width + 1, i + 1)
+        cuts = zip(at[i:last], at[min(i + width, j) : j + 1], strict=False)
+        h = np.array([xxh64_intdigest(plain[s : e - 1], seed) for s, e in cuts], np.uint64)
+        bits = np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+        out[row] = np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > len(h)).view(">u8")[0]
+    return out
+
+
 def fingerprints(docs: DataFrame, width: int = WIDTH, seed: int = SEED, text: str = "text") -> DataFrame:
     """docs without text, with fp: the signed 64-bit fingerprint of the width-word shingles, repeats included."""
     rest = [c for c in docs.columns if c not in (text, "fp")]
     schema = T.StructType([*(docs.schema[c] for c in rest), T.StructField("fp", T.LongType())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh64_intdigest
-
         for b in pieces(batches, text):
-            data, offsets = text_bytes(b.column(text))
-            data = LOWER[data]
-            starts, ends, first = word_spans(data, offsets)
-            # All words again, one blank behind each: a shingle is then one slice.
-            sizes = ends - starts + 1
-            at = np.concatenate([[0], np.cumsum(sizes)])
-            plain = np.full(at[-1], 32, np.uint8)
-            fill = np.repeat(starts - at[:-1], sizes) + np.arange(at[-1])
-            blank = at[1:] - 1
-            fill[blank] = 0
-            plain[:] = data[fill] if len(data) else 32
-            plain[blank] = 32
-            plain = plain.tobytes()
-            at = at.tolist()
-            out = np.zeros(b.num_rows, np.uint64)
-            for row in range(b.num_rows):
-                i, j = int(first[row]), int(first[row + 1])
-                if i == j:
-                    continue
-                last = max(j - width + 1, i + 1)
-                cuts = zip(at[i:last], at[min(i + width, j) : j + 1], strict=False)
-                h = np.array([xxh64_intdigest(plain[s : e - 1], seed) for s, e in cuts], np.uint64)
-                bits = np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-                out[row] = np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > len(h)).view(">u8")[0]
+            out = fingerprints_of(*text_bytes(b.column(text)), width, seed)
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in rest), pa.array(out.view(np.int64))], [*rest, "fp"])
 
     return docs.select(*[f"`{c}`" for c in [*rest, text]]).mapInArrow(work, schema)
@@ -115,7 +120,6 @@ class _Lists:
 
 def links(reps: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """reps(fp, rep) with distinct fp to (a, b): representatives whose links connect all that differ in at most distance bits."""
-    spark = reps.sparkSession
     lists = _Lists(distance)
     least, combos = lists.least, lists.combos
 
@@ -195,9 +199,7 @@ def links(reps: DataFrame, distance: int = DISTANCE) -> DataFrame:
 
     entries = reps.mapInArrow(index, "combo byte, key long, fp long, rep long")
     schema = "a long, b long, combo byte, key long, block long, fp long, rep long"
-    path = shared_path(spark, "simhash")
-    entries.repartition("combo", "key").sortWithinPartitions("combo", "key").mapInArrow(compare, schema).write.parquet(path)
-    found = spark.read.schema(schema).parquet(path)
+    found = cut(entries.repartition("combo", "key").sortWithinPartitions("combo", "key").mapInArrow(compare, schema), "simhash")
     near = found.where("a is not null").select("a", "b")
     long = found.where("combo is not null")
     if long.isEmpty():
@@ -232,13 +234,14 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, width: int = WIDT
 def keep_one(docs: DataFrame, by: str = "fingerprints", text: str = "text", doc_id: str = "doc_id", **how) -> DataFrame:
     """The rows of docs that represent their component: those with its smallest id. Rows without an id stay.
 
-    by="fingerprints" links as near_duplicates does; by="shingles" links five-word shingle sets of Jaccard similarity 0.8 or more
-    (near_text), which no number of equal positional bytes is guaranteed for. What stays or goes is a text of an id: of rows with
+    by="fingerprints" links as near_duplicates does; by="shingles" links five-word shingle sets of Jaccard similarity 0.8 or more:
+    what the index of fingerprints of these shingles links is verified on the sets, and near_text adds the links that no number of
+    equal positional bytes is guaranteed for, between texts that are not connected yet. What stays or goes is a text of an id: of rows with
     equal ids but different texts each is judged by its own text's component. Equal rows of the smallest id stay together.
     """
     own = docs.select(*dict.fromkeys((f"`{doc_id}`", f"`{text}`")))
     if by == "shingles":
-        found = near_text.near_duplicates(own, text, doc_id)
+        found = near_text.near_duplicates(own, text, doc_id, lambda data, offsets: fingerprints_of(data, offsets, near_text.WIDTH, SEED), links)
     else:
         found = near_duplicates(own.withColumn("__t", near_text.text_hash(F.col(f"`{text}`"))), text=text, doc_id=doc_id, **how)
         found = found.select(F.col(f"`{doc_id}`").alias("id"), F.col("__t").alias("text_hash"), "component_id")

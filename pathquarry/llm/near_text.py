@@ -5,7 +5,7 @@ pairs of similarity 0.8: an inverted index, a guaranteed minimum of matches, and
 all texts. Two sets whose similarity is SIMILAR or more share a shingle among the first n - ceil(SIMILAR * n) + 1 of each (prefix
 filter), so only these are indexed. Within a list, pairs go that can't be similar by their sizes, by their places in the order, or by
 the differing bits of parity maps of 128 and then of 1,024 bits (differing bits never outnumber the shingles that only one of two sets
-has). What is left is verified on the whole sets. The order puts shingles last that are frequent in a sample of texts; a poor sample makes lists longer
+has), and of sets with more shingles of maps as long as these, since short ones tell no two large sets apart. What is left is verified on the whole sets. The order puts shingles last that are frequent in a sample of texts; a poor sample makes lists longer
 and loses nothing.
 
 simhash.keep_one gives near_duplicates its fingerprints and their index: the links that these find are verified first, and the lists
@@ -102,6 +102,25 @@ def _wide(token: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
+def _full(token: np.ndarray, first: np.ndarray) -> list[bytes | None]:
+    """Parity maps of n to 2 n bits, by other bits again, for sets that have too many shingles for the wide ones to tell apart."""
+    out: list[bytes | None] = [None] * (len(first) - 1)
+    for row in np.flatnonzero(np.diff(first) > 64 * WORDS):
+        own = token[first[row] : first[row + 1]]
+        bits = 1 << (len(own) - 1).bit_length()
+        turned = np.bincount(((own >> np.uint64(20)) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+        out[row] = np.packbits(turned.astype(np.uint8), bitorder="little").tobytes()
+    return out
+
+
+def _near_full(a: bytes, b: bytes, most: int) -> bool:
+    """Whether maps of _full differ in at most `most` bits, the larger folded to the size of the smaller."""
+    x, y = sorted((np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)), key=len)
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum()) <= most
+
+
 def _most_bits(n: np.ndarray, m: np.ndarray) -> np.ndarray:
     """How many shingles at most only one of two similar sets of these sizes has, and so how many bits of their maps differ."""
     total = n + m
@@ -292,11 +311,15 @@ def _similar(pairs: DataFrame, maps: DataFrame, docs: DataFrame, text: str) -> D
         for b in batches:
             if b.num_rows:
                 n, m = (b.column(c).to_numpy().astype(np.int64) for c in ("n_a", "n_b"))
-                ok = _near_maps(_maps_of(b.column("wide_a")), _maps_of(b.column("wide_b")), _most_bits(n, m))
+                most = _most_bits(n, m)
+                ok = _near_maps(_maps_of(b.column("wide_a")), _maps_of(b.column("wide_b")), most)
+                full_a, full_b = b.column("full_a"), b.column("full_b")
+                for i in np.flatnonzero(ok & full_a.is_valid().to_numpy(zero_copy_only=False) & full_b.is_valid().to_numpy(zero_copy_only=False)):
+                    ok[i] = _near_full(full_a[i].as_py(), full_b[i].as_py(), most[i])
                 yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(ok))
 
     for k in ("a", "b"):
-        pairs = pairs.join(maps.select(F.col("key").alias(k), F.col("n").alias(f"n_{k}"), F.col("wide").alias(f"wide_{k}")), k)
+        pairs = pairs.join(maps.select(F.col("key").alias(k), F.col("n").alias(f"n_{k}"), F.col("wide").alias(f"wide_{k}"), F.col("full").alias(f"full_{k}")), k)
     pairs = cut(pairs.mapInArrow(near, "a long, b long"), "tried")
     wanted = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).select(F.col("key").bitwiseAND(MAP_BITS - 1).alias("k"))
     words = wanted.groupBy(F.shiftright("k", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(k & 63 as int))")).alias("bits")).collect()
@@ -331,13 +354,13 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
             token, first = shingles(*text_bytes(b.column("text")))
             wide = pa.array([x.tobytes() for x in _wide(token, first)], pa.binary())
             fp = np.zeros(b.num_rows, np.uint64) if fingerprint is None else fingerprint(*text_bytes(b.column("text")))
-            columns = [b.column("id"), b.column("text_hash"), pa.array(_keys(token, first)), pa.array(np.diff(first).astype(np.int32)), wide, pa.array(fp.view(np.int64))]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "text_hash", "key", "n", "wide", "fp"])
+            columns = [b.column("id"), b.column("text_hash"), pa.array(_keys(token, first)), pa.array(np.diff(first).astype(np.int32)), wide, pa.array(_full(token, first), pa.binary()), pa.array(fp.view(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "text_hash", "key", "n", "wide", "full", "fp"])
 
     named = docs.select(F.col(f"`{doc_id}`").alias("id"), text_hash(F.col(f"`{text}`")).alias("text_hash"), F.col(f"`{text}`").alias("text"))
-    rows = cut(named.mapInArrow(name, f"id {kind}, text_hash long, key long, n int, wide binary, fp long"), "sets")
-    counted = cut(rows.groupBy("key").agg(F.min("id").alias("least"), F.count("*").alias("rows"), F.max("n").alias("n"), F.max("wide").alias("wide"), F.min("fp").alias("fp")), "sets")
-    maps = counted.select("key", "n", "wide")
+    rows = cut(named.mapInArrow(name, f"id {kind}, text_hash long, key long, n int, wide binary, full binary, fp long"), "sets")
+    counted = cut(rows.groupBy("key").agg(F.min("id").alias("least"), F.count("*").alias("rows"), F.max("n").alias("n"), F.max("wide").alias("wide"), F.max("full").alias("full"), F.min("fp").alias("fp")), "sets")
+    maps = counted.select("key", "n", "wide", "full")
     total = rows.count()
     tried = links = docs.sparkSession.createDataFrame([], "a long, b long")
     if link is not None:

@@ -722,14 +722,21 @@ def _(spark, sf):
 
 
 def _journal_of(spark: SparkSession, sf: str) -> str:
-    """All changes in a replayable journal of four segments, on this machine."""
+    """All changes in a replayable journal of four segments or more, in the folder that driver and executors share."""
     from .sources import replay
 
-    root = tempfile.mkdtemp(prefix="pathquarry-")
-    rows = [r.asDict() for r in fixtures.changes(spark, sf).drop("seq").orderBy("timestamp", "path", "reason").toLocalIterator()]
-    step = -(-len(rows) // 4) or 1
-    for k in range(0, len(rows), step):
-        replay.write_segment(root, rows[k : k + step])
+    root = _journal_root(spark)
+    replay.write_segments(root, fixtures.changes(spark, sf).drop("seq"), [F.col("timestamp"), F.col("path"), F.col("reason")], 4)
+    return root
+
+
+def _journal_root(spark: SparkSession) -> str:
+    """A folder as Python opens it: the journal's reader needs one that is mounted."""
+    scheme, _, path = shared_path(spark, "journal").rpartition(":")
+    if scheme not in ("", "file"):
+        raise RuntimeError("the journal needs spark.checkpoint.dir in a mounted file system")
+    root = "/" + path.lstrip("/")
+    os.makedirs(root, exist_ok=True)
     return root
 
 
@@ -783,13 +790,13 @@ def _(spark, sf):
     from .sources import replay
     from .streaming import feed
 
-    journal_path, root = tempfile.mkdtemp(prefix="pathquarry-"), shared_path(spark, "tail")
+    journal_path, root = _journal_root(spark), shared_path(spark, "tail")
     replay.write_segment(journal_path, [{"timestamp": 1, "reason": "DELETE", "path": "/before/the/scan", "is_dir": False, "file_ref": 1}])
     store, files = Store(spark, root), fixtures.base_files(spark, sf)
     live = lambda: spark.createDataFrame([("/", 7, replay.tail(journal_path))], "volume string, journal_id long, cursor long")
 
     def scan() -> DataFrame:
-        replay.write_segment(journal_path, [r.asDict() for r in fixtures.changes(spark, sf).orderBy("seq").drop("seq").toLocalIterator()])
+        replay.write_segments(journal_path, fixtures.changes(spark, sf).withColumnRenamed("seq", "event"), [F.col("event")])
         return files
 
     for _ in range(2):

@@ -12,12 +12,20 @@ from __future__ import annotations
 
 import json
 import os
+import uuid
 from collections.abc import Iterator, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
 from ..schema import JOURNAL
+from ..shared import cut, numbered
+
+
+#: Events of a segment at most, where segments are written by tasks.
+SEGMENT = 250_000
 
 
 def segments(path: str) -> list[tuple[int, str]]:
@@ -59,6 +67,44 @@ def write_segment(path: str, events: Sequence[dict]) -> int:
     return first + len(events)
 
 
+def write_segments(path: str, events: DataFrame, by: list[Column], least: int = 1) -> int:
+    """Adds all events in the order of `by` behind the last segment, about `least` segments or more; returns the new tail.
+
+    Tasks write the segments, one or more each, so the driver holds no events. Each appears whole under its final name; a task that
+    runs again writes the same once more. The new segments become visible one by one: readers should start after the call.
+    """
+    os.makedirs(path, exist_ok=True)
+    first, columns = tail(path), events.columns
+    rows = cut(numbered(events, by, "__seq"), "journal")
+    count = rows.count()
+    step = max(1, min(-(-count // least), SEGMENT))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, name, here = None, "", -1
+
+        def close() -> None:
+            if out is not None:
+                out.close()
+                os.replace(out.name, name)
+
+        for b in batches:
+            numbers = b.column("__seq").to_pylist()
+            for n, event in zip(numbers, b.select(columns).to_pylist(), strict=True):
+                if n // step != here:
+                    close()
+                    here = n // step
+                    name = os.path.join(path, f"{first + here * step:020d}.jsonl")
+                    out = open(f"{name}.{uuid.uuid4().hex}.tmp", "w", encoding="utf-8")  # noqa: SIM115
+                out.write(json.dumps(event) + "\n")
+        close()
+        yield pa.RecordBatch.from_arrays([pa.array([], pa.int64())], ["n"])
+
+    parts = max(1, -(-count // step))
+    dealt = rows.withColumn("__part", F.floor(F.col("__seq") / step)).repartition(min(parts, 1000), "__part").sortWithinPartitions("__seq")
+    dealt.select("__seq", *columns).mapInArrow(work, "n long").write.format("noop").mode("overwrite").save()
+    return first + count
+
+
 class _Part(InputPartition):
     def __init__(self, file: str | None, first: int, start: int, end: int):
         self.file, self.first, self.start, self.end = file, first, start, end
